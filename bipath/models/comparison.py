@@ -4,47 +4,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from bipath.models import als, fm
 from bipath.models.selection import evaluator
+from bipath.operators.features import FeatureCells
 from bipath.operators.splits import train_test_split
 
 METRICS = "seed int, model string, split string, rmse double"
 
 
-def compare_splits(fitted: dict, train: dict, test: dict, seed: int) -> list[tuple]:
-    """(seed, model, split, rmse) of every fitted model on its training and its test rows."""
-    score = evaluator()
-    return [
-        (seed, name, split, float(score.evaluate(model.transform(rows[name]))))
-        for name, model in fitted.items()
-        for split, rows in (("train", train), ("test", test))
-    ]
-
-
 def compare_models(
     amount: DataFrame,
     ratings: als.Ratings,
-    fm_rows: DataFrame,
+    cells: FeatureCells,
     seeds: list[int],
     als_grid: dict = als.GRID,
     fm_grid: dict = fm.GRID,
     step_size: float = 0.1,
 ) -> DataFrame:
     """Both models on the same split of each seed; one metrics row per seed, model and split."""
-    keys = amount.select("drugId", "proteinId")
+    score = evaluator()
     results = []
     for seed in seeds:
-        train_keys, test_keys = train_test_split(keys, seed)
-        fitted = {
-            "als": als.train(ratings, als_grid, train_keys, test_keys, seed).model,
-            "fm": fm.train(fm_rows, fm_grid, train_keys, test_keys, seed, step_size).model,
+        train_keys, test_keys = train_test_split(amount.select("drugId", "proteinId"), seed)
+        als_model = als.train(ratings, als_grid, train_keys, test_keys, seed).model
+        fm_model = fm.train(amount, cells, fm_grid, train_keys, test_keys, seed, step_size).model
+        predicted = {
+            "als": als_model.transform(ratings.data),
+            "fm": fm.predict(fm_model, cells, amount),
         }
-        data = {"als": ratings.data, "fm": fm_rows}
-        parts = {name: train_test_split(rows, seed) for name, rows in data.items()}
-        results += compare_splits(
-            fitted,
-            {name: part[0] for name, part in parts.items()},
-            {name: part[1] for name, part in parts.items()},
-            seed,
-        )
+        for name, rows in predicted.items():
+            for split, part in zip(("train", "test"), train_test_split(rows, seed)):
+                results.append((seed, name, split, float(score.evaluate(part))))
     return amount.sparkSession.createDataFrame(results, METRICS)
 
 

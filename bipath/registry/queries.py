@@ -395,8 +395,7 @@ def one_hot(spark, d):
 def _interaction_model(spark, d):
     counts = amount_once(spark, d)
     cells = features.interaction_cells(checkpointed(net.dti(spark, d)), checkpointed(strong(spark, d)))
-    rows = fm.training_rows(counts, cells)
-    return counts, cells, rows
+    return counts, cells
 
 
 def assemble_features(spark, d):
@@ -452,18 +451,17 @@ def als_cross_validate(spark, d):
 
 
 def fm_fit_grid(spark, d):
-    _, _, rows = _interaction_model(spark, d)
-    return fm.train(rows, FM_GRID, seed=SEED, step_size=FM_STEP).metrics
+    return fm.train(*_interaction_model(spark, d), FM_GRID, seed=SEED, step_size=FM_STEP).metrics
 
 
 def fm_cross_validate(spark, d):
-    _, _, rows = _interaction_model(spark, d)
-    return fm.cross_validation(rows, FM_GRID, folds=5, seed=SEED, step_size=FM_STEP).metrics
+    counts, cells = _interaction_model(spark, d)
+    return fm.cross_validation(counts, cells, FM_GRID, folds=5, seed=SEED, step_size=FM_STEP).metrics
 
 
 def _fm_factors(spark, d):
-    counts, cells, rows = _interaction_model(spark, d)
-    model = fm.train(rows, FM_GRID, seed=SEED, step_size=FM_STEP).model
+    counts, cells = _interaction_model(spark, d)
+    model = fm.train(counts, cells, FM_GRID, seed=SEED, step_size=FM_STEP).model
     return counts, fm.entity_factors(model, cells)
 
 
@@ -474,8 +472,7 @@ def fm_rank_all(spark, d):
 def fm_rank_all_feedback(spark, d):
     counts = amount_once(spark, d)
     cells = features.feedback_cells(counts)
-    rows = fm.training_rows(counts, cells)
-    model = fm.train(rows, FM_GRID, seed=SEED, step_size=FM_STEP).model
+    model = fm.train(counts, cells, FM_GRID, seed=SEED, step_size=FM_STEP).model
     return fm.rank_all(fm.entity_factors(model, cells), 10)
 
 
@@ -489,9 +486,9 @@ def rank_specific_pairs(spark, d):
 
 
 def compare_models(spark, d):
-    counts, _, rows = _interaction_model(spark, d)
+    counts, cells = _interaction_model(spark, d)
     grid = {k: v[:1] for k, v in ALS_GRID.items()}
-    return comparison.compare_models(counts, als.index_ratings(counts), rows, [SEED], grid, FM_GRID, FM_STEP)
+    return comparison.compare_models(counts, als.index_ratings(counts), cells, [SEED], grid, FM_GRID, FM_STEP)
 
 
 def compare_rankings(spark, d):

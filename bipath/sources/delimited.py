@@ -9,7 +9,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t", rejected: bo
     """All columns of a header file as strings.
 
     Lines with fewer fields than the header are kept, padded with nulls; lines with more fields
-    are dropped, or returned instead of the good ones with ``rejected=True`` (one raw text column).
+    are dropped, or returned as raw text instead of the good ones with ``rejected=True``.
     """
     if not path:
         raise ValueError("the file name is empty")
@@ -21,6 +21,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t", rejected: bo
         .option("sep", sep)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
+        .option("columnPruning", False)  # with fewer columns parsed, surplus fields go unnoticed
         .option("columnNameOfCorruptRecord", _RAW)
         .csv(path)
     )
@@ -29,5 +30,6 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t", rejected: bo
     surplus = F.size(F.split(unquoted, "\\Q" + sep + "\\E")) > len(names)
     too_long = F.col(_RAW).isNotNull() & surplus
     if rejected:
-        return lines.filter(too_long).select(_RAW, *[F.col(f"`{n}`") for n in names]).select(_RAW)
+        # Spark reads the raw text only together with a parsed column.
+        return lines.filter(too_long).select(F.coalesce(F.col(_RAW), F.col(f"`{names[0]}`")).alias("line"))
     return lines.filter(~too_long).drop(_RAW)
