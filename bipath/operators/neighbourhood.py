@@ -68,7 +68,7 @@ def ego_network(
     with the at most ``limit`` first edges; it is taken at its A end where both ends match, so it
     comes once per first edge without a dedup.
     """
-    strong = filter_score(ppi, threshold)
+    strong = filter_score(ppi, threshold).select("proteinAId", "proteinBId", "score")
     touches_seed = (F.col("proteinAId") == seed) | (F.col("proteinBId") == seed)
     first = strong.filter(touches_seed).orderBy(*edge_order(strong)).limit(limit)
     hop = first.select(

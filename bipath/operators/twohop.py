@@ -12,12 +12,15 @@ LIST_SIZE = 4096
 
 def two_hop_paths(dti: DataFrame, ppi: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFrame:
     """(drugId, proteinId, proteinBId, score) for every distinct target and strong edge of it."""
-    edges = filter_score(ppi, threshold).withColumnRenamed("proteinAId", "proteinId")
-    return hot_key_join(dti, edges, "proteinId").select(
+    return _through_targets(dti, filter_score(ppi, threshold)).select(
         "drugId", "proteinId", "proteinBId", "score"
     )
 
 
+def _through_targets(dti: DataFrame, edges: DataFrame) -> DataFrame:
+    return hot_key_join(dti, edges.withColumnRenamed("proteinAId", "proteinId"), "proteinId")
+
+
 def count_paths(paths: DataFrame) -> DataFrame:
     return paths.groupBy("drugId", "proteinBId").agg(F.count(F.lit(1)).alias("amount_interactions"))
 
@@ -36,11 +39,13 @@ def amount_interactions(
 
     Paths are counted before known targets go: the count is partial on the map side, and the
     anti join then runs on the very (drug, protein) partitioning of the count, so the paths are
-    shuffled once, as partial sums.
+    shuffled once, as partial sums. Scores are done with after the threshold; without them the
+    key counts and the join read the same shuffled edges, as all readers of the targets share
+    theirs (Catalyst would add a null filter to some of them).
     """
-    targets = distinct_dti(dti)
-    edges = symmetrize_ppi(ppi_raw, threshold).select("proteinAId", "proteinBId", "score")
-    counted = count_paths(two_hop_paths(targets, edges, threshold))
+    targets = distinct_dti(dti.dropna(subset=["drugId", "proteinId"]))
+    edges = symmetrize_ppi(ppi_raw, threshold).drop("score")
+    counted = count_paths(_through_targets(targets, edges))
     return exclude_known_targets(counted, targets).select(
         "drugId", F.col("proteinBId").alias("proteinId"), "amount_interactions"
     )

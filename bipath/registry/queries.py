@@ -31,8 +31,8 @@ SEED = 42
 DRUG = "D1"
 # Model settings of the rows-only queries; the step size suits the few iterations.
 ALS_GRID = {"regParam": [0.01, 0.1], "rank": [10], "alpha": [10.0], "maxIter": [5]}
-FM_GRID = {"regParam": [0.01], "maxIter": [10], "initStd": [0.1], "factorSize": [2]}
-FM_STEP = 0.01
+FM_GRID = {"regParam": [0.01], "maxIter": [6], "initStd": [0.1], "factorSize": [2]}
+FM_STEP = 0.003
 
 
 # -- shared inputs ---------------------------------------------------------------------------
