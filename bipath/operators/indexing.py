@@ -2,12 +2,12 @@
 
 The rows are range-partitioned in the asked order and sorted inside each partition. Positions in
 a partition plus the totals of the partitions before it give global ones. The sorted rows are
-checkpointed first: range bounds are sampled, so both uses must see the same partitions.
+written first: range bounds are sampled, so both uses must see the same partitions.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from bipath.runtime import checkpointed
+from bipath.runtime import written
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row in partition below
 
@@ -16,7 +16,7 @@ def _sorted_rows(df: DataFrame, order: list[Column]) -> DataFrame:
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = placed.withColumn("_id", F.monotonically_increasing_id())
     return (
-        checkpointed(placed)
+        written(placed, "sorted")
         .withColumn("_part", F.shiftright("_id", _ROW_BITS))
         .withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
         .drop("_id")

@@ -22,7 +22,7 @@ from bipath.operators import (
     twohop,
 )
 from bipath.plans import etl, sql_profile
-from bipath.runtime import checkpointed, scratch_path
+from bipath.runtime import scratch_path, written
 from bipath.sinks import append_edges, insert_into_table, overwrite_csv, write_lines
 from bipath import sources
 from bipath.schemas import AMOUNT, DTI, PPI
@@ -61,7 +61,7 @@ def amount(spark: SparkSession, d: str) -> DataFrame:
 
 def amount_once(spark: SparkSession, d: str) -> DataFrame:
     """The counts, computed once for the queries that go over them many times."""
-    return checkpointed(amount(spark, d))
+    return written(amount(spark, d))
 
 
 def table_name(tag: str) -> str:
@@ -394,12 +394,12 @@ def one_hot(spark, d):
 
 def _interaction_model(spark, d):
     counts = amount_once(spark, d)
-    cells = features.interaction_cells(checkpointed(net.dti(spark, d)), checkpointed(strong(spark, d)))
+    cells = features.interaction_cells(written(net.dti(spark, d)), written(strong(spark, d)))
     return counts, cells
 
 
 def assemble_features(spark, d):
-    cells = features.interaction_cells(checkpointed(net.dti(spark, d)), checkpointed(strong(spark, d)))
+    cells = features.interaction_cells(written(net.dti(spark, d)), written(strong(spark, d)))
     stored = features.read_vector_cells(spark, features.write_vector_rows(amount(spark, d), cells))
     total = F.aggregate("features.values", F.lit(0.0), lambda acc, x: acc + x)
     return stored.select(

@@ -1,6 +1,6 @@
-"""Shared-folder helpers: reliable checkpoints and written intermediate tables.
+"""Intermediate tables in the shared folder.
 
-Both live under the folder the session names in ``spark.checkpoint.dir``, so any executor can read
+They live under the folder the session names in ``spark.checkpoint.dir``, so any executor can read
 them again after another one was lost. Only a local session without that setting gets a temporary
 folder of its own.
 """
@@ -27,16 +27,12 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder from then on."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, tag: str = "stage") -> DataFrame:
+    """``df`` as a parquet table in the shared folder, read back from then on.
 
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a parquet table in the shared folder; columnar, so later scans prune columns."""
+    This cuts the lineage like a checkpoint. Being columnar and of known size, the table also lets
+    later plans prune its columns and decide on broadcasts by its real size.
+    """
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
