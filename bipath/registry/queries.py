@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bipath import standins as net
+from bipath import sources, standins as net
 from bipath.models import als, comparison, fm
 from bipath.operators import (
     candidates,
@@ -24,8 +24,7 @@ from bipath.operators import (
 from bipath.plans import etl, sql_profile
 from bipath.runtime import scratch_path, written
 from bipath.sinks import append_edges, insert_into_table, overwrite_csv, write_lines
-from bipath import sources
-from bipath.schemas import AMOUNT, DTI, PPI
+from bipath.schemas import AMOUNT, PPI
 
 SEED = 42
 DRUG = "D1"
@@ -139,10 +138,10 @@ def dedup_structures(spark, d):
     drugs, proteins = scratch_path(spark, "drugs"), scratch_path(spark, "proteins")
     etl.structures_to_collections(spark, path, drugs, proteins)
 
-    def tagged(p, kind, columns):
+    def tagged(p, kind):
         return spark.read.parquet(p).toDF("id", "structure").withColumn("kind", F.lit(kind))
 
-    return tagged(drugs, "drug", 2).unionByName(tagged(proteins, "protein", 2))
+    return tagged(drugs, "drug").unionByName(tagged(proteins, "protein"))
 
 
 # -- sinks -----------------------------------------------------------------------------------
