@@ -211,7 +211,7 @@ def identify_language(documents: DataFrame, model: Model | None) -> DataFrame:
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kept = documents.drop("lang_pred", "score", "phrase_length")
-    schema = T.StructType(kept.schema.fields).add("lang_pred", "string").add("score", "double").add("phrase_length", "double")
+    schema = T.StructType(list(kept.schema.fields)).add("lang_pred", "string").add("score", "double").add("phrase_length", "double")
     return kept.mapInArrow(_predict(shared), schema)
 
 
