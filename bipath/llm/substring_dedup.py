@@ -159,6 +159,9 @@ def _windows(window: int, gram: int):
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
+            # The others are settled, or copies of a text that another document had first.
+            first = longs(batch, "doc_id") == longs(batch, "first")
+            batch = batch.filter(pa.array(first & column(batch, "text").is_valid().to_numpy(zero_copy_only=False)))
             words = words_of(column(batch, "text"))
             _, docs, least, inside = _anchors(words, window, gram)
             lists = column(batch, "anchors")
@@ -270,9 +273,10 @@ def substring_dedup(
     texts = source.mapInArrow(
         _prepare(window, with_text), f"t long, doc_id long, text string, text_key long, {_RESULT}"
     )
-    own = F.coalesce("doc_id", F.lit(least))
-    seeds = texts.join(firsts.join(anchors, "t"), "t").filter((own == F.col("first")) & F.col("text").isNotNull())
-    windows = seeds.select("t", own.alias("doc_id"), "text", "anchors").mapInArrow(
+    # Both joins below see the same filter and all columns, so the exchange of the texts is made once.
+    texts = texts.filter(F.col("t").isNotNull())
+    seeds = texts.join(firsts.join(anchors, "t"), "t")
+    windows = seeds.mapInArrow(
         _windows(window, gram), "route long, known boolean, h long, doc_id long, pos int, t long"
     )
     later = routed(windows, "route", "known", "h", "doc_id", "pos").mapInArrow(_later, "t long, pos int")
