@@ -63,9 +63,9 @@ def validate(df: DataFrame, texts: list[str], number: str | None = None, strict:
     """
     reason = F.lit(None).cast("string")
     if number is not None:
-        reason = F.when(F.col(number).isNull(), F.lit(f"{number} is not a number"))
+        reason = F.when(F.col(number).isNull(), F.lit(f"{number} is absent"))
     for name in reversed(texts):
-        reason = F.when(is_blank(F.col(name)), F.lit(f"{name} is null or empty")).otherwise(reason)
+        reason = F.when(is_blank(F.col(name)), F.lit(f"{name} is blank")).otherwise(reason)
     if strict:
         reason = F.when(reason.isNotNull(), F.raise_error(reason)).otherwise(reason)
     return df.withColumn("reason", reason)

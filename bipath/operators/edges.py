@@ -29,8 +29,9 @@ def symmetrize_ppi(ppi: DataFrame, threshold: float | None = None) -> DataFrame:
     The pair is brought into one order first, so the input is scanned once and each undirected
     edge crosses the shuffle once; both directions are made from the aggregate. A threshold is
     applied before it, which keeps the same pairs and maxima (Catalyst does not push a filter
-    on a maximum through the aggregate).
+    on a maximum through the aggregate). Rows with a null end are no edges and go; validation reports them.
     """
+    ppi = ppi.filter(F.col("proteinAId").isNotNull() & F.col("proteinBId").isNotNull())
     if threshold is not None:
         ppi = filter_score(ppi, threshold)
     a, b = F.col("proteinAId"), F.col("proteinBId")

@@ -4,10 +4,11 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def graph_edges(dti: DataFrame, ppi: DataFrame) -> DataFrame:
-    """(src, dst): undirected simple edges of both kinds, ends in order."""
+    """(src, dst): undirected simple edges of both kinds, ends in order; rows with a null end are no edges."""
 
     def undirected(df, a, b):
-        return df.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+        whole = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+        return whole.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
 
     return (
         undirected(dti, "drugId", "proteinId")

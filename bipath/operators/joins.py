@@ -2,51 +2,47 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-# Rows of one key and side that one task may take, and the most keys that can be hot.
+from bipath.runtime import written
+
+# Pairs of one key that one task may make, and the edge of the blocks that a hotter key is cut into.
 BLOCK_ROWS = 4096
-MAX_HOT_KEYS = 200_000
 
 
-def hot_key_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    block_rows: int = BLOCK_ROWS,
-    max_hot_keys: int = MAX_HOT_KEYS,
-) -> DataFrame:
+def hot_key_join(left: DataFrame, right: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``left.join(right, key)`` with the pairs of a hot key cut into a grid of blocks.
 
     A hub joined to a hub gives rows(left) x rows(right) output rows from two short inputs, which
-    adaptive skew handling does not see, as it goes by input bytes. Here a side's rows of a hot
-    key are hashed into ceil(rows / block_rows) slots, and each is repeated once per slot of the
-    other side, so every pair still meets exactly once and no task gets more than about
-    block_rows x block_rows of them.
+    adaptive skew handling does not see, as it goes by input bytes. A key is hot when that product is
+    above ``block_rows`` squared, whatever its share of the rows. Its rows are hashed into slots of about
+    ``block_rows``, and each is repeated once per slot of the other side, so every pair still meets exactly
+    once and no task gets more than about block_rows x block_rows of them.
 
-    A key is hot when it has more than ``block_rows`` rows and more than 1/``max_hot_keys`` of
-    its side. Fewer than ``max_hot_keys`` keys per side can do so: that bounds the broadcast.
+    Each side is counted once. Cold rows go through a plain join. Hot keys are found again by a join on the key, a
+    broadcast only if Spark's size threshold allows it; with one row per key on that side, Spark can split it.
     """
-    hot = _hot_slots(left, right, key, block_rows, max_hot_keys)
-    # Cold keys dominate; they pass the broadcast lookup with one slot and no extra shuffle.
-    left = _spread(left.join(F.broadcast(hot), key, "left"), key, own="ls", other="rs")
-    right = _spread(right.join(F.broadcast(hot), key, "left"), key, own="rs", other="ls")
-    return left.join(right, [key, "ls", "rs"]).drop("ls", "rs")
+    hot = written(_hot_slots(left, right, key, block_rows), "hot-keys")
+    cold = left.join(hot, key, "left_anti").join(right, key)
+    names = [key, *(c for c in left.columns if c != key), *(c for c in right.columns if c != key)]
+    spread_left = _spread(left.join(hot, key), key, own="ls", other="rs")
+    spread_right = _spread(right.join(hot, key), key, own="rs", other="ls")
+    spread = spread_left.join(spread_right, [key, "ls", "rs"])
+    return cold.select(names).unionByName(spread.select(names))
 
 
-def _hot_slots(left, right, key, block_rows, max_hot_keys):
-    def slots(df, name):
-        counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        total = counts.agg(F.sum("n")).scalar()
-        hot = counts.filter((F.col("n") > block_rows) & (F.col("n") * max_hot_keys > total))
-        return hot.select(key, F.ceil(F.col("n") / block_rows).cast("int").alias(name))
+def _hot_slots(left, right, key, block_rows):
+    def counted(df, name):
+        return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
-    both = slots(left, "l_slots").join(slots(right, "r_slots"), key, "full")
-    return both.fillna(1, ["l_slots", "r_slots"])
+    both = counted(left, "l").join(counted(right, "r"), key)
+    # Decimals, as the product of two counts can pass a long.
+    pairs = F.col("l").cast("decimal(19,0)") * F.col("r").cast("decimal(19,0)")
+    slots = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
+    return both.filter(pairs > block_rows**2).select(key, slots("l").alias("l_slots"), slots("r").alias("r_slots"))
 
 
 def _spread(df, key, own, other):
     columns = [c for c in df.columns if c not in (key, "l_slots", "r_slots")]
     mine, theirs = ("l_slots", "r_slots") if own == "ls" else ("r_slots", "l_slots")
-    one = F.lit(1)
-    spread = F.pmod(F.xxhash64(*columns), F.coalesce(F.col(mine), one)).cast("int")
-    copies = F.sequence(F.lit(0), F.coalesce(F.col(theirs), one) - 1)
+    spread = F.pmod(F.xxhash64(*columns), F.col(mine)).cast("int")
+    copies = F.sequence(F.lit(0), F.col(theirs) - 1)
     return df.select(key, *columns, spread.alias(own), F.explode(copies).alias(other))

@@ -1,4 +1,4 @@
-"""Bounded neighbourhoods of seed proteins.
+"""Neighbourhoods of seed proteins: whole, or with a ``limit`` per seed, edge or protein.
 
 Every ``row_number() <= n`` below is cut per map task before the shuffle (WindowGroupLimit), so a
 hub among the seeds sends n rows per task, not its edges.
@@ -7,13 +7,15 @@ hub among the seeds sends n rows per task, not its edges.
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bipath.operators.edges import SCORE_THRESHOLD, filter_score
-from bipath.sources.edges import DTI_LIMIT, PPI_LIMIT, edge_order, ids_from_list
+from bipath.sources.edges import edge_order, ids_from_list, scan_edges
 
 # Seeds are typed in by a user; a longer list is joined without the broadcast hint.
 MAX_BROADCAST_SEEDS = 10_000
 
 
-def _first_per(edges: DataFrame, group: list[str], limit: int) -> DataFrame:
+def _first_per(edges: DataFrame, group: list[str], limit: int | None) -> DataFrame:
+    if limit is None:
+        return edges
     window = Window.partitionBy(*group).orderBy(*edge_order(edges))
     return edges.withColumn("nth", F.row_number().over(window)).filter(F.col("nth") <= limit).drop("nth")
 
@@ -24,8 +26,8 @@ def _seed_frame(spark: SparkSession, seeds: list[str], column: str) -> DataFrame
     return F.broadcast(frame) if len(unique) <= MAX_BROADCAST_SEEDS else frame
 
 
-def seed_neighbourhood(ppi: DataFrame, seeds: list[str] | None = None, limit: int = PPI_LIMIT) -> DataFrame:
-    """The first out-edges of each seed and, for seeds that have any, its first in-edges.
+def seed_neighbourhood(ppi: DataFrame, seeds: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """The out-edges of each seed and, for seeds that have any, its in-edges; the first ``limit`` of each kind.
 
     Without seeds: all edges.
     """
@@ -48,29 +50,27 @@ def seed_neighbourhood(ppi: DataFrame, seeds: list[str] | None = None, limit: in
     return out_edges.select(columns).unionByName(linked.select(columns)).distinct()
 
 
-def dti_of_edges(dti: DataFrame, ppi: DataFrame, limit: int = DTI_LIMIT) -> DataFrame:
-    """The first DTI of every A side of ``ppi``."""
+def dti_of_edges(dti: DataFrame, ppi: DataFrame, limit: int | None = None) -> DataFrame:
+    """The (first ``limit``) DTI of every A side of ``ppi``."""
     wanted = ppi.select(F.col("proteinAId").alias("proteinId")).distinct()
-    return _first_per(dti, ["proteinId"], limit).join(wanted, "proteinId", "left_semi").select(
-        "drugId", "proteinId"
-    )
+    return _first_per(dti.join(wanted, "proteinId", "left_semi"), ["proteinId"], limit).select("drugId", "proteinId")
 
 
 def ego_network(
     ppi: DataFrame,
     seed: str,
     threshold: float = SCORE_THRESHOLD,
-    limit: int = PPI_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Strong edges at the seed, and for each of them the first strong edges at either end.
+    """Strong edges at the seed, and for each of them the (first ``limit``) strong edges at either end.
 
     ``ppi`` holds each edge once. An edge reaches the second step by its ends, as an equi join
-    with the at most ``limit`` first edges; it is taken at its A end where both ends match, so it
+    with the first edges; it is taken at its A end where both ends match, so it
     comes once per first edge without a dedup.
     """
     strong = filter_score(ppi, threshold).select("proteinAId", "proteinBId", "score")
     touches_seed = (F.col("proteinAId") == seed) | (F.col("proteinBId") == seed)
-    first = strong.filter(touches_seed).orderBy(*edge_order(strong)).limit(limit)
+    first = scan_edges(strong, touches_seed, limit)
     hop = first.select(
         F.struct("proteinAId", "proteinBId", "score").alias("via"),
         F.explode(F.array_distinct(F.array("proteinAId", "proteinBId"))).alias("node"),
@@ -80,7 +80,7 @@ def ego_network(
     )
     a_matches = F.col("proteinAId").isin(F.col("via.proteinAId"), F.col("via.proteinBId"))
     second = (
-        by_end.join(F.broadcast(hop), "node")
+        by_end.join(hop if limit is None else F.broadcast(hop), "node")
         .filter((F.col("node") == F.col("proteinAId")) | ~a_matches)
         .select("via", "proteinAId", "proteinBId", "score")
     )
@@ -88,9 +88,7 @@ def ego_network(
     return first.unionByName(second).distinct()
 
 
-def dti_of_network(dti: DataFrame, ppi: DataFrame, limit: int = DTI_LIMIT) -> DataFrame:
-    """The first DTI of every end of ``ppi``."""
+def dti_of_network(dti: DataFrame, ppi: DataFrame, limit: int | None = None) -> DataFrame:
+    """The (first ``limit``) DTI of every end of ``ppi``."""
     ends = ppi.select(F.explode(F.array("proteinAId", "proteinBId")).alias("proteinId")).distinct()
-    return _first_per(dti, ["proteinId"], limit).join(ends, "proteinId", "left_semi").select(
-        "drugId", "proteinId"
-    )
+    return _first_per(dti.join(ends, "proteinId", "left_semi"), ["proteinId"], limit).select("drugId", "proteinId")

@@ -1,8 +1,21 @@
-"""Loads from raw files to collections and tables: scan, clean and write in one job each."""
+"""Loads from raw files to collections and tables.
 
-from pyspark.sql import DataFrame, SparkSession
+A load splits its rows: good ones go to the sink, bad ones with the reason to ``rejected_path``. Both come from one
+written table, so the input is read and parsed once. A load returns the number of good and bad rows.
+"""
 
-from bipath.operators.cleaning import clean_ppi_text, split_drug_ids, valid_rows, validate
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from bipath.operators.cleaning import (
+    clean_ppi_text,
+    quarantined_rows,
+    split_drug_ids,
+    valid_rows,
+    validate,
+)
+from bipath.runtime import written
 from bipath.sinks import append_edges, insert_into_table
 from bipath.sources import (
     drug_smiles,
@@ -14,40 +27,68 @@ from bipath.sources import (
 )
 
 
+@dataclass(frozen=True)
+class Loaded:
+    good: int
+    bad: int
+
+
+def checked_dti(dti: DataFrame, strict: bool = False) -> DataFrame:
+    return validate(dti, ["drugId", "proteinId"], strict=strict)
+
+
+def checked_ppi(ppi: DataFrame, strict: bool = False) -> DataFrame:
+    return validate(ppi, ["proteinAId", "proteinBId"], "score", strict)
+
+
 def valid_dti(dti: DataFrame, strict: bool = False) -> DataFrame:
-    return valid_rows(validate(dti, ["drugId", "proteinId"], strict=strict))
+    return valid_rows(checked_dti(dti, strict))
 
 
 def valid_ppi(ppi: DataFrame, strict: bool = False) -> DataFrame:
-    return valid_rows(validate(ppi, ["proteinAId", "proteinBId"], "score", strict))
+    return valid_rows(checked_ppi(ppi, strict))
+
+
+def _load(checked: DataFrame, rejected_path: str, sink) -> Loaded:
+    rows = written(checked, "checked")
+    sink(valid_rows(rows))
+    append_edges(quarantined_rows(rows), rejected_path)
+    bad = F.count(F.col("reason"))
+    n = rows.agg((F.count(F.lit(1)) - bad).alias("good"), bad.alias("bad")).first()
+    return Loaded(n["good"], n["bad"])
 
 
-def ppi_text_to_collection(spark: SparkSession, source: str, collection: str) -> None:
-    append_edges(valid_ppi(clean_ppi_text(read_delimited(spark, source, "\t"))), collection)
+def ppi_text_to_collection(spark: SparkSession, source: str, collection: str, rejected_path: str) -> Loaded:
+    edges = clean_ppi_text(read_delimited(spark, source, "\t"))
+    return _load(checked_ppi(edges), rejected_path, lambda df: append_edges(df, collection))
 
 
-def dti_text_to_collection(spark: SparkSession, source: str, collection: str) -> None:
-    append_edges(valid_dti(split_drug_ids(read_delimited(spark, source, ","))), collection)
+def dti_text_to_collection(spark: SparkSession, source: str, collection: str, rejected_path: str) -> Loaded:
+    edges = split_drug_ids(read_delimited(spark, source, ","))
+    return _load(checked_dti(edges), rejected_path, lambda df: append_edges(df, collection))
 
 
 def structures_to_collections(
-    spark: SparkSession, source: str, drug_collection: str, protein_collection: str
-) -> None:
-    """Drugs and proteins of one XML dump, each in one scan of it."""
-    drugs = read_drug_xml(spark, source)
+    spark: SparkSession, source: str, drug_collection: str, protein_collection: str, rejected_path: str
+) -> tuple[Loaded, Loaded]:
+    """Drugs and proteins of one XML dump, which is parsed once; malformed elements go to ``rejected_path``/elements."""
+    drugs = written(read_drug_xml(spark, source), "drugs")
+    append_edges(read_drug_xml(spark, source, rejected=True), f"{rejected_path}/elements")
     smiles = validate(drug_smiles(drugs), ["drugId", "smiles"])
-    append_edges(valid_rows(smiles), drug_collection)
     fasta = validate(protein_sequences(drugs), ["proteinId", "fasta"])
-    append_edges(valid_rows(fasta), protein_collection)
+    return (
+        _load(smiles, f"{rejected_path}/drugs", lambda df: append_edges(df, drug_collection)),
+        _load(fasta, f"{rejected_path}/proteins", lambda df: append_edges(df, protein_collection)),
+    )
 
 
 def collection_to_table(spark: SparkSession, collection: str, table: str, **options: str) -> None:
     insert_into_table(spark.read.parquet(collection), table, **options)
 
 
-def dti_json_to_table(spark: SparkSession, source: str, table: str, **options: str) -> None:
-    insert_into_table(valid_dti(read_dti_json(spark, source)), table, **options)
+def dti_json_to_table(spark: SparkSession, source: str, table: str, rejected_path: str, **options: str) -> Loaded:
+    return _load(checked_dti(read_dti_json(spark, source)), rejected_path, lambda df: insert_into_table(df, table, **options))
 
 
-def ppi_json_to_table(spark: SparkSession, source: str, table: str, **options: str) -> None:
-    insert_into_table(valid_ppi(read_ppi_json(spark, source)), table, **options)
+def ppi_json_to_table(spark: SparkSession, source: str, table: str, rejected_path: str, **options: str) -> Loaded:
+    return _load(checked_ppi(read_ppi_json(spark, source)), rejected_path, lambda df: insert_into_table(df, table, **options))

@@ -23,7 +23,7 @@ def ppis_for_analysis(ppi_raw: DataFrame, threshold: float = SCORE_THRESHOLD) ->
 
 
 def amount_manual(dti_rows: DataFrame, ppis: DataFrame) -> DataFrame:
-    """(drugId, proteinBId, amountInteractions): joined DTI rows per drug and path end.
+    """(drugId, proteinBId, paths): joined DTI rows per drug and path end.
 
     Repeated DTI rows are counted before the join and summed after it.
     """
@@ -34,10 +34,10 @@ def amount_manual(dti_rows: DataFrame, ppis: DataFrame) -> DataFrame:
     ends = spark.sql("SELECT proteinAId AS proteinId, proteinBId FROM {ppis}", ppis=ppis)
     return spark.sql(
         """
-        SELECT drugId, proteinBId, sum(n) AS amountInteractions
-        FROM {paths} GROUP BY drugId, proteinBId
+        SELECT drugId, proteinBId, sum(n) AS paths
+        FROM {joined} GROUP BY drugId, proteinBId
         """,
-        paths=hot_key_join(dti, ends, "proteinId"),
+        joined=hot_key_join(dti, ends, "proteinId"),
     )
 
 
@@ -50,36 +50,30 @@ def amount_match(amount: DataFrame, manual: DataFrame) -> DataFrame:
     return amount.sparkSession.sql(
         """
         SELECT count(*) AS matches
-        FROM {amount} ai JOIN {manual} am
-          ON ai.drugId = am.drugId AND ai.proteinId = am.proteinBId
-         AND ai.amount_interactions - am.amountInteractions = 0
+        FROM {counted} counted JOIN {derived} derived
+          ON counted.drugId = derived.drugId AND counted.proteinId = derived.proteinBId
+        WHERE counted.amount_interactions - derived.paths = 0
         """,
-        amount=amount,
-        manual=manual,
+        counted=amount,
+        derived=manual,
     )
 
 
 def sql_ppi_degree(ppis: DataFrame) -> DataFrame:
     return ppis.sparkSession.sql(
-        """
-        SELECT proteinAId AS proteinId, count(*) AS amountInteractionsProteins
-        FROM {ppis} GROUP BY proteinAId
-        """,
-        ppis=ppis,
+        "SELECT proteinAId AS proteinId, count(*) AS protein_degree FROM {ppis} GROUP BY proteinAId", ppis=ppis
     )
 
 
-def interactions_for_drug(dti_rows: DataFrame) -> DataFrame:
+def targets_of_drugs(dti_rows: DataFrame) -> DataFrame:
     return dti_rows.sparkSession.sql(
-        "SELECT drugId, count(*) AS amountInteractionsProteins FROM {dti} GROUP BY drugId",
-        dti=dti_rows,
+        "SELECT drugId, count(*) AS drug_targets FROM {dti} GROUP BY drugId", dti=dti_rows
     )
 
 
-def interactions_for_protein(dti_rows: DataFrame) -> DataFrame:
+def drugs_of_proteins(dti_rows: DataFrame) -> DataFrame:
     return dti_rows.sparkSession.sql(
-        "SELECT proteinId, count(*) AS amountInteractionsDrugs FROM {dti} GROUP BY proteinId",
-        dti=dti_rows,
+        "SELECT proteinId, count(*) AS protein_drugs FROM {dti} GROUP BY proteinId", dti=dti_rows
     )
 
 
@@ -90,18 +84,15 @@ def complete_profile(dti_rows: DataFrame, ppis: DataFrame) -> DataFrame:
     """
     return dti_rows.sparkSession.sql(
         """
-        SELECT m.drugId, m.proteinBId,
-               pd.amountInteractionsProteins AS amountInteractionsProteinsDrug,
-               p2.amountInteractionsProteins,
-               coalesce(d2.amountInteractionsDrugs, 0) AS amountInteractionsDrugs,
-               m.amountInteractions
-        FROM {manual} m
-        JOIN {p2} p2 ON p2.proteinId = m.proteinBId
-        JOIN {pd} pd ON pd.drugId = m.drugId
-        LEFT JOIN {d2} d2 ON d2.proteinId = m.proteinBId
+        SELECT drugId, counts.proteinBId, drug_targets, protein_degree,
+               coalesce(protein_drugs, 0) AS protein_drugs, paths
+        FROM {counts} counts
+        JOIN {drugs} drugs USING (drugId)
+        JOIN {ends} ends ON ends.proteinId = counts.proteinBId
+        LEFT JOIN {users} users ON users.proteinId = counts.proteinBId
         """,
-        manual=amount_manual(dti_rows, ppis),
-        p2=sql_ppi_degree(ppis),
-        pd=interactions_for_drug(dti_rows),
-        d2=interactions_for_protein(dti_rows),
+        counts=amount_manual(dti_rows, ppis),
+        drugs=targets_of_drugs(dti_rows),
+        ends=sql_ppi_degree(ppis),
+        users=drugs_of_proteins(dti_rows),
     )

@@ -46,16 +46,14 @@ VIEWS = {
         FROM paths t
         WHERE NOT EXISTS (SELECT 1 FROM dti k WHERE k.drugId = t.drugId AND k.proteinId = t.proteinBId)
         GROUP BY t.drugId, t.proteinBId""",
-    "directed": """
-        SELECT proteinAId, proteinBId, max(score) AS score FROM ppi_raw WHERE score >= 0.5
-        GROUP BY proteinAId, proteinBId""",
-    "manual": """
-        SELECT d.drugId, p.proteinBId, count(*) AS amountInteractions
-        FROM dti_rows d JOIN directed p ON d.proteinId = p.proteinAId
-        GROUP BY d.drugId, p.proteinBId""",
-    "a_degree": """
-        SELECT proteinAId AS proteinId, count(*) AS amountInteractionsProteins FROM directed
-        GROUP BY proteinAId""",
+    "one_way": "SELECT proteinAId, proteinBId FROM ppi_raw GROUP BY ALL HAVING max(score) >= 0.5",
+    "drug_hits": "SELECT drugId, proteinId, count(*) AS hits FROM dti_rows GROUP BY ALL",
+    "derived": """
+        SELECT h.drugId, e.proteinBId, sum(h.hits)::BIGINT AS paths
+        FROM one_way e, drug_hits h WHERE h.proteinId = e.proteinAId GROUP BY ALL""",
+    "out_degree": "SELECT proteinAId AS proteinId, count(*) AS protein_degree FROM one_way GROUP BY ALL",
+    "hits_of_drug": "SELECT drugId, sum(hits)::BIGINT AS drug_targets FROM drug_hits GROUP BY ALL",
+    "hits_of_protein": "SELECT proteinId, sum(hits)::BIGINT AS protein_drugs FROM drug_hits GROUP BY ALL",
     "ppi_deg": """
         SELECT proteinId, count(*) AS degree FROM (
           SELECT proteinAId AS proteinId FROM ppi UNION ALL SELECT proteinBId FROM ppi) e
@@ -94,6 +92,10 @@ VIEWS = {
           WHERE e.score >= 0.5) t
         WHERE nth <= 20""",
     "ego": "SELECT * FROM ego_first UNION SELECT * FROM ego_second",
+    "at_p0": "SELECT * FROM stored_ppi WHERE score >= 0.5 AND 'P0' IN (proteinAId, proteinBId)",
+    "whole_ego": """
+        SELECT DISTINCT e.* FROM stored_ppi e WHERE e.score >= 0.5 AND EXISTS (
+          SELECT 1 FROM at_p0 f WHERE e.proteinAId IN (f.proteinAId, f.proteinBId) OR e.proteinBId IN (f.proteinAId, f.proteinBId))""",
     "nth_dti": """
         SELECT drugId, proteinId FROM (
           SELECT *, row_number() OVER (PARTITION BY proteinId ORDER BY drugId) AS nth FROM dti) t
@@ -163,10 +165,12 @@ BODIES = {
     "scan_json_dti": "SELECT drugId, proteinId FROM dti",
     "scan_json_ppi": "SELECT * FROM ppi_raw",
     "scan_edges_all": "SELECT * FROM dti_rows",
-    "scan_edges_filtered": """
+    "scan_edges_filtered": "SELECT * FROM ppi_raw WHERE proteinAId = 'P0' OR proteinBId = 'P0'",
+    "scan_edges_filtered_dti": "SELECT drugId, proteinId FROM dti WHERE proteinId = 'P0'",
+    "scan_edges_first_20": """
         SELECT * FROM ppi_raw WHERE proteinAId = 'P0' OR proteinBId = 'P0'
         ORDER BY score DESC, proteinAId, proteinBId LIMIT 20""",
-    "scan_edges_filtered_dti": """
+    "scan_edges_first_10_dti": """
         SELECT drugId, proteinId FROM dti WHERE proteinId = 'P0' ORDER BY drugId, proteinId LIMIT 10""",
     "find_one_edge": """
         SELECT * FROM ppi_raw WHERE proteinAId = 'P0' OR proteinBId = 'P0'
@@ -192,10 +196,10 @@ BODIES = {
     "clean_ppi_text": "SELECT * FROM clean_ppi",
     "split_drug_ids": "SELECT * FROM split_dti",
     "validate_edges": """
-        SELECT 'dti' AS edges, CASE WHEN l_orderkey % 13 = 0 THEN 'drugId is null or empty'
+        SELECT 'dti' AS edges, CASE WHEN l_orderkey % 13 = 0 THEN 'drugId is blank'
                ELSE 'valid' END AS reason, count(*) AS n FROM lineitem GROUP BY ALL
         UNION ALL
-        SELECT 'ppi', CASE WHEN okey % 17 = 0 THEN 'score is not a number' ELSE 'valid' END, count(*)
+        SELECT 'ppi', CASE WHEN okey % 17 = 0 THEN 'score is absent' ELSE 'valid' END, count(*)
         FROM interactions GROUP BY ALL""",
     "filter_score": "SELECT * FROM ppi_raw WHERE score >= 0.5",
     "filter_edge_predicate": """
@@ -231,6 +235,15 @@ BODIES = {
         SELECT d.drugId, p.proteinId FROM (SELECT DISTINCT drugId FROM amount) d,
                (SELECT DISTINCT proteinId FROM amount) p""",
     "seed_neighbourhood": """
+        SELECT * FROM stored_ppi WHERE proteinAId IN ('P0', 'P1', 'P2', 'P3')
+        UNION SELECT * FROM stored_ppi
+        WHERE proteinBId IN ('P0', 'P1', 'P2', 'P3') AND proteinBId IN (SELECT proteinAId FROM stored_ppi)""",
+    "dti_of_edges": "SELECT * FROM dti WHERE proteinId IN (SELECT proteinAId FROM ppi_raw)",
+    "ego_network_2hop": "SELECT * FROM whole_ego",
+    "ego_network_2hop_dti": """
+        SELECT * FROM dti
+        WHERE proteinId IN (SELECT proteinAId FROM whole_ego UNION SELECT proteinBId FROM whole_ego)""",
+    "seed_neighbourhood_first_20": """
         SELECT proteinAId, proteinBId, score FROM (
           SELECT *, row_number() OVER (PARTITION BY proteinAId ORDER BY score DESC, proteinBId) AS nth
           FROM stored_ppi WHERE proteinAId IN ('P0', 'P1', 'P2', 'P3')) o WHERE nth <= 20
@@ -239,27 +252,24 @@ BODIES = {
           SELECT *, row_number() OVER (PARTITION BY proteinBId ORDER BY score DESC, proteinAId) AS nth
           FROM stored_ppi WHERE proteinBId IN ('P0', 'P1', 'P2', 'P3')
             AND proteinBId IN (SELECT proteinAId FROM stored_ppi)) i WHERE nth <= 20""",
-    "dti_of_edges": "SELECT * FROM nth_dti WHERE proteinId IN (SELECT proteinAId FROM ppi_raw)",
-    "ego_network_2hop": "SELECT * FROM ego",
-    "ego_network_2hop_dti": """
+    "dti_of_edges_first_10": "SELECT * FROM nth_dti WHERE proteinId IN (SELECT proteinAId FROM ppi_raw)",
+    "ego_network_2hop_first_20": "SELECT * FROM ego",
+    "ego_network_2hop_first_10_dti": """
         SELECT * FROM nth_dti
         WHERE proteinId IN (SELECT proteinAId FROM ego UNION SELECT proteinBId FROM ego)""",
-    "sql_amount_manual": "SELECT * FROM manual",
+    "copy_edges_json": "SELECT proteinAId, proteinBId, score FROM interactions WHERE okey % 17 <> 0",
+    "copy_edges_rejected": """
+        SELECT proteinAId, proteinBId, 'score is absent' AS reason FROM interactions WHERE okey % 17 = 0""",
+    "sql_amount_manual": "SELECT * FROM derived",
     "sql_amount_match": """
-        SELECT count(*) AS matches FROM amount ai JOIN manual am
-          ON am.amountInteractions = ai.amount_interactions AND ai.drugId = am.drugId
-         AND ai.proteinId = am.proteinBId""",
+        SELECT count(*) AS matches FROM (
+          SELECT drugId, proteinId, amount_interactions FROM amount
+          INTERSECT SELECT drugId, proteinBId, paths FROM derived) both_ways""",
     "sql_complete_profile": """
-        SELECT d.drugId, p.proteinBId, pd.n AS amountInteractionsProteinsDrug,
-               p2.amountInteractionsProteins, coalesce(d2.n, 0) AS amountInteractionsDrugs,
-               count(*) AS amountInteractions
-        FROM dti_rows d
-        JOIN directed p ON d.proteinId = p.proteinAId
-        JOIN a_degree p2 ON p2.proteinId = p.proteinBId
-        JOIN (SELECT drugId, count(*) AS n FROM dti_rows GROUP BY drugId) pd ON pd.drugId = d.drugId
-        LEFT JOIN (SELECT proteinId, count(*) AS n FROM dti_rows GROUP BY proteinId) d2
-          ON d2.proteinId = p.proteinBId
-        GROUP BY d.drugId, p.proteinBId, p2.amountInteractionsProteins, pd.n, d2.n""",
+        SELECT derived.*, drug_targets, protein_degree, ifnull(protein_drugs, 0) AS protein_drugs
+        FROM derived NATURAL JOIN hits_of_drug
+        JOIN out_degree ON out_degree.proteinId = derived.proteinBId
+        LEFT JOIN hits_of_protein ON hits_of_protein.proteinId = derived.proteinBId""",
     "degree_total": "SELECT * FROM total_deg",
     "max_score_per_pair": "SELECT proteinAId, proteinBId, max(score) AS score FROM ppi_raw GROUP BY ALL",
     "targets_per_drug": f"""
@@ -295,7 +305,7 @@ BODIES = {
     ),
     "label_histogram": "SELECT amount_interactions, count(*) AS n FROM amount GROUP BY ALL",
     "ppi_degree": "SELECT proteinId, degree, degree // 2 AS neighbours FROM ppi_deg",
-    "sql_ppi_degree": "SELECT * FROM a_degree",
+    "sql_ppi_degree": "SELECT * FROM out_degree",
     "drug_degree": "SELECT * FROM drug_deg",
     "target_degree": "SELECT * FROM target_deg",
     "target_distribution_raw": "SELECT proteinId, count(*) AS amount FROM dti_rows GROUP BY proteinId",

@@ -136,7 +136,7 @@ def dedup_structures(spark, d):
     net.drug_xml(spark, d).write.text(path)
     net.drug_xml(spark, d).write.mode("append").text(path)
     drugs, proteins = scratch_path(spark, "drugs"), scratch_path(spark, "proteins")
-    etl.structures_to_collections(spark, path, drugs, proteins)
+    etl.structures_to_collections(spark, path, drugs, proteins, scratch_path(spark, "rejected"))
 
     def tagged(p, kind):
         return spark.read.parquet(p).toDF("id", "structure").withColumn("kind", F.lit(kind))
@@ -164,7 +164,7 @@ def sink_table_insert(spark, d):
 def copy_edges(spark, d):
     text = _text_file(spark, net.ppi_text(spark, d), "\t", "ppi-text")
     collection = scratch_path(spark, "ppi-collection")
-    etl.ppi_text_to_collection(spark, text, collection)
+    etl.ppi_text_to_collection(spark, text, collection, scratch_path(spark, "rejected"))
     name = table_name("ppi")
     etl.collection_to_table(spark, collection, name, path=scratch_path(spark, "ppi-table"))
     return spark.table(name)
@@ -173,14 +173,30 @@ def copy_edges(spark, d):
 def copy_edges_dti(spark, d):
     text = _text_file(spark, net.dti_text(spark, d), ",", "dti-text")
     collection = scratch_path(spark, "dti-collection")
-    etl.dti_text_to_collection(spark, text, collection)
+    etl.dti_text_to_collection(spark, text, collection, scratch_path(spark, "rejected"))
     path = scratch_path(spark, "dti-json")
     spark.read.parquet(collection).write.json(path)
     name = table_name("dti")
-    etl.dti_json_to_table(spark, path, name, path=scratch_path(spark, "dti-table"))
+    etl.dti_json_to_table(spark, path, name, scratch_path(spark, "rejected"), path=scratch_path(spark, "dti-table"))
     return spark.table(name)
 
 
+def copy_edges_json(spark, d):
+    """PPI from JSON lines to a table, a null score in one of seventeen orders: the good rows."""
+    path, name = scratch_path(spark, "ppi-json"), table_name("ppi")
+    net.dirty_ppi(spark, d).write.json(path)
+    etl.ppi_json_to_table(spark, path, name, scratch_path(spark, "rejected"), path=scratch_path(spark, "ppi-table"))
+    return spark.table(name)
+
+
+def copy_edges_rejected(spark, d):
+    """The same load's rejected rows with their reason."""
+    path, name, rejected = scratch_path(spark, "ppi-json"), table_name("ppi"), scratch_path(spark, "rejected")
+    net.dirty_ppi(spark, d).write.json(path)
+    etl.ppi_json_to_table(spark, path, name, rejected, path=scratch_path(spark, "ppi-table"))
+    return spark.read.parquet(rejected).select("proteinAId", "proteinBId", "reason")
+
+
 def sink_csv(spark, d):
     path = scratch_path(spark, "amount-csv")
     overwrite_csv(amount(spark, d), path)
@@ -277,14 +293,26 @@ def seed_neighbourhood(spark, d):
     return neighbourhood.seed_neighbourhood(stored_ppi(spark, d), net.SEEDS)
 
 
+def seed_neighbourhood_first_20(spark, d):
+    return neighbourhood.seed_neighbourhood(stored_ppi(spark, d), net.SEEDS, limit=20)
+
+
 def ego_network_2hop(spark, d):
     return neighbourhood.ego_network(stored_ppi(spark, d), "P0")
 
 
+def ego_network_2hop_first_20(spark, d):
+    return neighbourhood.ego_network(stored_ppi(spark, d), "P0", limit=20)
+
+
 def ego_network_2hop_dti(spark, d):
     return neighbourhood.dti_of_network(net.dti(spark, d), ego_network_2hop(spark, d))
 
 
+def ego_network_2hop_first_10_dti(spark, d):
+    return neighbourhood.dti_of_network(net.dti(spark, d), ego_network_2hop_first_20(spark, d), limit=10)
+
+
 def directed(spark, d):
     return sql_profile.ppis_for_analysis(net.ppi_raw(spark, d))
 
@@ -503,6 +531,8 @@ QUERIES = {
     "scan_edges_all": lambda s, d: sources.scan_edges(net.dti_rows(s, d)),
     "scan_edges_filtered": lambda s, d: sources.scan_edges(net.ppi_raw(s, d), at_seed()),
     "scan_edges_filtered_dti": lambda s, d: sources.scan_edges(net.dti(s, d), F.col("proteinId") == "P0"),
+    "scan_edges_first_20": lambda s, d: sources.scan_edges(net.ppi_raw(s, d), at_seed(), 20),
+    "scan_edges_first_10_dti": lambda s, d: sources.scan_edges(net.dti(s, d), F.col("proteinId") == "P0", 10),
     "find_one_edge": lambda s, d: sources.find_one(net.ppi_raw(s, d), at_seed()),
     "xml_drug_smiles": xml_drug_smiles,
     "xml_protein_sequences": xml_protein_sequences,
@@ -511,6 +541,8 @@ QUERIES = {
     "sink_table_insert": sink_table_insert,
     "copy_edges": copy_edges,
     "copy_edges_dti": copy_edges_dti,
+    "copy_edges_json": copy_edges_json,
+    "copy_edges_rejected": copy_edges_rejected,
     "sink_csv": sink_csv,
     "sink_text_lines": sink_text_lines,
     "filter_id_prefix": lambda s, d: _raw_names(cleaning.filter_id_prefix(net.ppi_text(s, d))),
@@ -537,6 +569,10 @@ QUERIES = {
     "split_semi_join": split_semi_join,
     "candidate_pairs": candidate_pairs,
     "seed_neighbourhood": seed_neighbourhood,
+    "seed_neighbourhood_first_20": seed_neighbourhood_first_20,
+    "dti_of_edges_first_10": lambda s, d: neighbourhood.dti_of_edges(net.dti(s, d), net.ppi_raw(s, d), limit=10),
+    "ego_network_2hop_first_20": ego_network_2hop_first_20,
+    "ego_network_2hop_first_10_dti": ego_network_2hop_first_10_dti,
     "dti_of_edges": lambda s, d: neighbourhood.dti_of_edges(net.dti(s, d), net.ppi_raw(s, d)),
     "ego_network_2hop": ego_network_2hop,
     "ego_network_2hop_dti": ego_network_2hop_dti,

@@ -1,25 +1,43 @@
 """Intermediate tables in the shared folder.
 
 They live under the folder the session names in ``spark.checkpoint.dir``, so any executor can read
-them again after another one was lost. Only a local session without that setting gets a temporary
-folder of its own.
+them again after another one was lost. Only a session without executors of its own (local mode) gets a temporary
+folder where that setting is absent. ``intermediates`` gives the tables a lifetime.
 """
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPES: list[str] = []
+
 
 def shared_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="bipath-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not configured:
+        if not spark._jsc.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        configured = tempfile.mkdtemp(prefix="bipath-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return "/".join([configured.rstrip("/"), *_SCOPES])
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession):
+    """Everything written inside goes into one folder, which is deleted at the end.
+
+    Consume or store the results before the block ends: they read these tables.
+    """
+    _SCOPES.append(f"scope-{uuid.uuid4().hex}")
+    root = shared_root(spark)
+    try:
+        yield root
+    finally:
+        _SCOPES.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

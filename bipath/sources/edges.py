@@ -4,11 +4,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-# How many edges a scan with a predicate returns.
-PPI_LIMIT = 20
-DTI_LIMIT = 10
-
-
 def edge_order(edges: DataFrame) -> list[Column]:
     """The total order behind every limit: strongest PPI first, DTI by ids."""
     if "score" in edges.columns:
@@ -17,12 +12,10 @@ def edge_order(edges: DataFrame) -> list[Column]:
 
 
 def scan_edges(edges: DataFrame, predicate: Column | None = None, limit: int | None = None) -> DataFrame:
-    """All edges, or the first ``limit`` (20 PPI, 10 DTI) that satisfy ``predicate``."""
-    if predicate is None:
-        return edges
-    if limit is None:
-        limit = PPI_LIMIT if "score" in edges.columns else DTI_LIMIT
-    return edges.filter(predicate).orderBy(*edge_order(edges)).limit(limit)
+    """The edges that satisfy ``predicate``; with a ``limit``, the first so many in edge order."""
+    if predicate is not None:
+        edges = edges.filter(predicate)
+    return edges if limit is None else edges.orderBy(*edge_order(edges)).limit(limit)
 
 
 def find_one(edges: DataFrame, predicate: Column) -> DataFrame:

@@ -65,15 +65,15 @@ def test_amount_interactions_with_hub_matches_brute_force(spark, seed):
     assert rows(got) == brute_force(dti, ppi)
 
 
-@pytest.mark.parametrize("block_rows,max_hot_keys", [(1, 1000), (3, 1000), (3, 4)])
-def test_hot_key_join_equals_plain_join(spark, block_rows, max_hot_keys):
+@pytest.mark.parametrize("block_rows", [1, 3, 10, 4096])
+def test_hot_key_join_equals_plain_join(spark, block_rows):
     rng = random.Random(7)
     left = [("hot" if rng.random() < 0.4 else f"k{rng.randrange(9)}", i) for i in range(120)]
     right = [("hot" if rng.random() < 0.4 else f"k{rng.randrange(9)}", i) for i in range(90)]
     left += left[:10]  # repeated rows stay repeated
     left_df = spark.createDataFrame(left, "key string, l int")
     right_df = spark.createDataFrame(right, "key string, r int")
-    got = joins.hot_key_join(left_df, right_df, "key", block_rows, max_hot_keys)
+    got = joins.hot_key_join(left_df, right_df, "key", block_rows)
     want = sorted(((k, a, b) for (k, a), (j, b) in itertools.product(left, right) if k == j), key=repr)
     assert rows(got, "key", "l", "r") == want
 
@@ -158,6 +158,27 @@ def test_pivot_tiles_and_masks(spark, hand_dti, hand_ppi):
     ]
 
 
+def test_ranks_keep_null_scores_and_many_ties(spark):
+    data = [("a", f"P{i}", 1) for i in range(50)] + [("a", "Q", 2), ("b", "P", None)]
+    df = spark.createDataFrame(data, "drugId string, proteinId string, amount_interactions int")
+    assert len(rows(ranking.topk_per_group(df, 3, "amount_interactions"))) == 52
+    assert len(rows(ranking.rank_per_group(df, "amount_interactions"))) == 52
+
+
+def test_null_ends_make_no_edges(spark):
+    ppi = spark.createDataFrame([("P1", None, 0.9), ("P1", "P2", 0.8)], "proteinAId string, proteinBId string, score double")
+    assert rows(edges.symmetrize_ppi(ppi)) == [("P1", "P2", 0.8), ("P2", "P1", 0.8)]
+
+
+def test_a_key_hot_by_its_product_is_split(spark):
+    hot = joins._hot_slots(
+        spark.range(30).selectExpr("'k' AS key", "id AS l").union(spark.range(9000).selectExpr("cast(id AS string)", "id")),
+        spark.range(30).selectExpr("'k' AS key", "id AS r").union(spark.range(9000).selectExpr("cast(id AS string)", "id")),
+        "key", 10,
+    )
+    assert rows(hot) == [("k", 3, 3)]
+
+
 def test_rank_matches_window_with_ties_and_a_hot_group(spark):
     rng = random.Random(5)
     data = [("hot" if rng.random() < 0.5 else f"D{rng.randrange(4)}", f"P{i}", rng.randrange(20)) for i in range(400)]

@@ -45,9 +45,9 @@ def test_limits_are_taken_before_the_shuffle(ppi_file, hand_dti):
     amount = degrees.drug_degree(hand_dti)
     for df in (
         ranking.topk_per_group(amount, 3, "degree"),
-        neighbourhood.seed_neighbourhood(ppi_file, ["P1"]),
-        neighbourhood.dti_of_edges(hand_dti, ppi_file),
-        neighbourhood.ego_network(ppi_file, "P1"),
+        neighbourhood.seed_neighbourhood(ppi_file, ["P1"], limit=20),
+        neighbourhood.dti_of_edges(hand_dti, ppi_file, limit=10),
+        neighbourhood.ego_network(ppi_file, "P1", limit=20),
     ):
         assert "WindowGroupLimit" in plan(df)
 

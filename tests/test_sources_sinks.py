@@ -1,11 +1,14 @@
 """Files in and out, and the faulty rows in them."""
 
+import os
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from bipath import runtime, schemas, sinks, sources
 from bipath.functions import confidence_score, fasta_body, strip_known_prefix
+from bipath.models import selection
 from bipath.operators import cleaning
 from bipath.plans import etl
 
@@ -71,8 +74,33 @@ def test_structures_load_quarantines_the_missing_sequence(spark, tmp_path):
     file = tmp_path / "dump.xml"
     file.write_text(XML)
     drugs, proteins = str(tmp_path / "d"), str(tmp_path / "p")
-    etl.structures_to_collections(spark, str(file), drugs, proteins)
-    assert rows(spark.read.parquet(proteins)) == [("P1", "MAKL")]
+    _, loaded = etl.structures_to_collections(spark, str(file), drugs, proteins, str(tmp_path / "r"))
+    assert rows(spark.read.parquet(proteins)) == [("P1", "MAKL")] and loaded == etl.Loaded(1, 1)
+    assert [r.proteinId for r in spark.read.parquet(str(tmp_path / "r/proteins")).collect()] == ["P2"]
+    assert [r.reason for r in spark.read.parquet(str(tmp_path / "r/elements")).collect()] == ["no primary id"]
+
+
+def _drug(attributes, key, smiles):
+    return (
+        f'<drug {attributes}><drugbank-id primary="true">{key}</drugbank-id><calculated-properties><property>'
+        f"<kind>SMILES</kind><value>{smiles}</value></property></calculated-properties></drug>\n"
+    )
+
+
+def test_drug_xml_with_attributes_in_any_order_and_a_malformed_record(spark, tmp_path):
+    file = tmp_path / "dump.xml"
+    records = [_drug('created="x" type="b"', "DB1", "C"), _drug('type="b"', "DB2", "a & b"), _drug('updated="y"', "DB3", "N")]
+    file.write_text("<?xml version='1.0'?>\n<drugbank>\n" + "".join(records) + "</drugbank>\n")
+    assert rows(sources.drug_smiles(sources.read_drug_xml(spark, str(file)))) == [("DB1", "C"), ("DB3", "N")]
+    rejected = sources.read_drug_xml(spark, str(file), rejected=True).collect()
+    assert [r.reason for r in rejected] == ["not well formed"] and "DB2" in rejected[0].element
+
+
+def test_drug_xml_fails_on_a_record_it_would_swallow(spark, tmp_path):
+    file = tmp_path / "dump.xml"
+    file.write_text("<drugbank>\n" + _drug('type="b"', "DB1", "C") + _drug('type="b"', "DB2", "N").replace("<drug ", "<drug\n") + "</drugbank>")
+    with pytest.raises(Exception, match="more than one outer drug element"):
+        sources.read_drug_xml(spark, str(file)).collect()
 
 
 def test_cleaning_functions(spark):
@@ -99,9 +127,11 @@ def test_validation_quarantine_and_strict_mode(spark):
     checked = cleaning.validate(df, ["proteinAId", "proteinBId"], "score")
     assert rows(cleaning.valid_rows(checked)) == [("P1", "P2", 0.1)]
     reasons = sorted(r.reason for r in cleaning.quarantined_rows(checked).collect())
-    assert reasons == ["proteinAId is null or empty", "proteinBId is null or empty", "score is not a number"]
-    with pytest.raises(Exception, match="proteinAId is null or empty"):
-        cleaning.validate(df, ["proteinAId", "proteinBId"], "score", strict=True).collect()
+    assert reasons == ["proteinAId is blank", "proteinBId is blank", "score is absent"]
+    for bad, reason in ((("", "P2", 0.1), "proteinAId is blank"), (("P1", None, 0.1), "proteinBId is blank"), (("P1", "P2", None), "score is absent")):
+        one = spark.createDataFrame([bad], schemas.PPI)
+        with pytest.raises(Exception, match=reason):
+            cleaning.validate(one, ["proteinAId", "proteinBId"], "score", strict=True).collect()
 
 
 def test_sinks(spark, tmp_path):
@@ -122,5 +152,15 @@ def test_scans_are_ordered_and_bounded(hand_ppi):
         sources.find_one(hand_ppi, None)
 
 
+def test_intermediates_are_deleted_with_their_scope(spark):
+    with runtime.intermediates(spark) as root:
+        assert runtime.written(spark.range(5)).count() == 5 and os.path.isdir(root.removeprefix("file:"))
+    assert not os.path.exists(root.removeprefix("file:"))
+
+
+def test_the_best_of_a_grid_is_never_nan():
+    assert selection.lowest([float("nan"), 0.5, 0.5]) == 1 and selection.lowest([float("nan")]) == 0
+
+
 def test_scratch_paths_lie_in_the_shared_folder(spark):
     assert runtime.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
