@@ -1,0 +1,47 @@
+import random
+
+import pytest
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, t long, score string, first int"
+
+
+def frame(spark, rows):
+    """Documents of (doc_id, text, lang, source), with extra columns whose names operators use inside."""
+    return spark.createDataFrame(
+        [(i, text, lang, source, len(text or ""), 1, "x", 2) for i, text, lang, source in rows], DOCUMENTS
+    )
+
+
+def texts(seed, n=60):
+    """Random texts of few words, with copies, near copies, shared passages, and empty, null and long ones."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(words) for _ in range(30)]
+    out = []
+    for i in range(n):
+        kind = i % 6
+        own = [rng.choice(words) for _ in range(rng.choice([2, 8, 12, 15, 25, 60]))]
+        if kind == 1 and out:
+            own = (rng.choice(out) or "").split()
+        if kind == 2 and out:
+            own = (rng.choice(out) or "").split()
+            if own:
+                own[rng.randrange(len(own))] = "changed"
+        if kind == 3:
+            own[len(own) // 2 : len(own) // 2] = passage[rng.randrange(5) :]
+        if kind == 4:
+            own = (own * 5)[: rng.randrange(1, 90)]
+        out.append(" ".join(own))
+    return [*out, None, "", " \n", "a", "A b", "word " * 3000]
+
+
+@pytest.fixture(scope="session")
+def odd_documents(spark):
+    rows = [(i * 3, text, "en", f"s{i % 4}") for i, text in enumerate(texts(1))]
+    rows += [rows[0], rows[7], (None, "w1 w2 w3", None, None), (1000, rows[5][1], None, None)]
+    return rows, frame(spark, rows)
+
+
+@pytest.fixture(scope="session")
+def no_documents(spark):
+    return frame(spark, [])

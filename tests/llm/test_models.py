@@ -1,0 +1,234 @@
+"""Classifiers on held-out rows, the mix, the search, the archive, the quotes and the pipeline."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+from conftest import rows as sorted_rows
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from bipath.llm import language_id, mixing, quality, quotes, revisits, topk_search, toxicity
+from bipath.llm.asof import latest_before
+from bipath.llm.queries import QUERIES
+from bipath.llm.sql import ORACLE
+from check_queries import as_rows, duck
+from odd_rows import no_documents, odd_documents  # noqa: F401
+
+D = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, sf_dir, name):
+    df, result = QUERIES[name](spark, sf_dir), duck(sf_dir).execute(ORACLE[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert as_rows(df.columns, [tuple(r) for r in df.collect()]) == as_rows(columns, result.fetchall())
+
+
+def accuracy(found, truth, label, predicted):
+    joined = found.join(truth, "doc_id").filter("held_out")
+    return joined.groupBy(label).agg(F.avg((F.col(predicted) == F.col(label)).cast("double"))).collect()
+
+
+def test_language_on_held_out_documents(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    found = language_id.language_of_documents(docs)
+    assert all(share > 0.97 for _, share in accuracy(found, docs.select("doc_id", "lang"), "lang", "lang_pred"))
+    assert found.filter("score < 0 OR score > 1").count() == 0
+
+
+def test_language_of_odd_rows(odd_documents, no_documents):
+    rows, df = odd_documents
+    got = language_id.language_of_documents(df).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"] for r in got if r["lang_pred"] == "und"} == {r[0] for r in rows if not any(c.isalpha() for c in r[1] or "")}
+    assert language_id.language_of_documents(no_documents).collect() == []
+    unlearned = language_id.language_of_documents(df.withColumn("lang", F.lit(None).cast("string")))
+    assert {(r["lang_pred"], r["score"]) for r in unlearned.collect()} == {("und", 0.0)}
+
+
+def test_phrases_equal_greedy_longest_matches(monkeypatch):
+    rng = random.Random(2)
+    samples = {name: "".join(rng.choice(letters) for _ in range(200)) for name, letters in (("x", "abcd"), ("y", "cdef"))}
+    alphabet = "abcdef"
+    built = [language_id.suffix_automaton(language_id.symbols_of([s], alphabet)[0].tolist(), 8) for s in samples.values()]
+    model = language_id.Model(
+        list(samples), alphabet, np.concatenate([t for t, _ in built]), np.array([r for _, r in built]),
+        np.array([0, len(built[0][0])]), np.ones(2),
+    )
+    texts = ["".join(rng.choice("abcdefz ") for _ in range(n)) for n in (0, 1, 5, 40, 300)]
+    symbols, first, _ = language_id.symbols_of(texts, alphabet)
+    got = language_id.phrases(model, symbols, first)
+    for k, sample in enumerate(samples.values()):
+        known = "".join(map(chr, language_id.symbols_of([sample], alphabet)[0] + 65))
+        for d in range(len(texts)):
+            own = "".join(map(chr, symbols[first[d] : first[d + 1]] + 65))
+            at = count = 0
+            while at < len(own):
+                n = 1
+                while at + n < len(own) and own[at : at + n + 1] in known:
+                    n += 1
+                at, count = at + n, count + 1
+            assert got[k, d] == count
+
+
+def test_quality_and_toxicity_on_held_out_documents(spark):
+    docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
+    assert all(s > 0.9 for _, s in accuracy(quality.quality_scores(docs, labels), labels, "quality", "predicted"))
+    assert all(s > 0.7 for _, s in accuracy(toxicity.toxicity_scores(docs, labels), labels, "toxic", "predicted"))
+
+
+@pytest.mark.parametrize("scores", [quality.quality_scores, toxicity.toxicity_scores])
+def test_scores_of_odd_rows(spark, odd_documents, no_documents, scores):
+    rows, df = odd_documents
+    labels = spark.createDataFrame([(r[0], k % 2, k % 3 % 2, "x") for k, r in enumerate(rows)] + [(5, None, None, "x"), (None, 1, 1, "x")], "doc_id long, quality int, toxic int, score string")
+    got = scores(df, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    assert scores(no_documents, labels).collect() == []
+    assert len(scores(df, labels.limit(0)).collect()) == len(rows)
+
+
+def test_permutation_is_a_bijection(spark):
+    for n in (1, 2, 7, 100):
+        got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3))).collect()]
+        assert sorted(got) == list(range(n))
+
+
+def waterfill(sizes, weights=(5, 2, 1), most=3):
+    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        level = (total - sum(fixed.values())) / max(sum(weight[s] for s in free), 1e-9)
+        over = [s for s in free if level * weight[s] > most * sizes[s]]
+        if not over:
+            return fixed | {s: level * weight[s] for s in free}
+        fixed |= {s: most * sizes[s] for s in over}
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_mix_reaches_its_targets(odd_documents, no_documents, block):
+    rows, df = odd_documents
+    got = mixing.mixed_documents(df, block=block).collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for _, text, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    targets = waterfill(sizes)
+    for source, size in sizes.items():
+        own = [r for r in got if r["source"] == source]
+        assert {r["source_size"] for r in own} == {size}
+        assert all(abs(r["target"] - targets[source]) < 1e-6 * max(1, size) for r in own)
+        assert abs(sum(r["taken"] for r in own) - targets[source]) <= 1.001
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    assert sorted(map(tuple, mixing.mixed_documents(df, block=block).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+    assert mixing.mixed_documents(no_documents).collect() == []
+
+
+def test_shards_hold_every_slot_once(odd_documents):
+    _, drawn = mixing.mix(odd_documents[1], block=16)
+    places = sorted(r["place"] for r in drawn.collect())
+    assert places == list(range(len(places)))
+
+
+def test_topk_equals_brute_force_with_ties_and_bad_vectors(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([-0.5, 0.1, 0.25]) for _ in range(6)], "x") for i in range(300)]
+    rows += [(1000 + i, [0.25] * 6, "x") for i in range(150)]
+    rows += [(50, None, "x") for _ in range(0)] + [(2000, None, "x"), (2050, [float("nan")] * 6, "x"), (2100, [None] * 6, "x"), (None, [0.1] * 6, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    good = [(i, np.floor(np.array(v, np.float32).astype(float) * 256).astype(int)) for i, v, _ in rows if i is not None and v and None not in v and not np.isnan(v).any()]
+    want = []
+    for i, q in good:
+        if i % 50 == 0:
+            best = sorted((-int(q @ v), j) for j, v in good if j != i)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted_rows(topk_search.top_k(df, 5, 50)) == sorted(want, key=repr)
+    assert topk_search.top_k(df.limit(0), 5, 50).collect() == []
+
+
+def test_tree_search_prunes_but_finds_all():
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-50, 50, (2000, 4)).astype(float)
+    tree = topk_search.Tree(vectors, 16)
+    query = vectors[0]
+    bound = topk_search.bounds(query[None], tree.low, tree.high)[0]
+    found = topk_search.search(tree, np.arange(2000), vectors, 0, query, bound, 5, -(10**9))
+    assert found == sorted(((int(s), -i) for i, s in enumerate(vectors @ query) if i), reverse=True)[:5]
+
+
+def test_as_of_join_with_a_hot_key(spark):
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(5)}", i, rng.randrange(99) if rng.random() < 0.3 else None) for i in range(400)]
+    rows += [(None, 1, 5), (None, 2, None)]
+    df = spark.createDataFrame(rows, "key string, at long, value long").repartition(7)
+    last, want = {}, []
+    for key, at, value in rows:
+        want.append((key, at, value, None if key is None else last.get(key)))
+        if value is not None and key is not None:
+            last[key] = value
+    assert sorted_rows(latest_before(df, "key", ["at"], "value", "seen")) == sorted(want, key=repr)
+
+
+def test_revisits_with_validators_and_nulls(spark):
+    def record(i, kind, url, at, etag=None, date=None, status=200, headers=None, body=None):
+        return (i, kind, url, at, status, etag, date, headers, body, "x")
+
+    rows = [
+        record("r1", "response", "http://WWW.a.org:80/x/?b=2&a=1&utm_source=z#f", 1, '"e"', "d1", headers={"ETag": '"e"', "X": "1", "Content-Length": "9"}, body="B"),
+        record("v1", "revisit", "https://a.org/x?a=1&b=2", 2, 'W/"e"', status=304, headers={"x": "2", "content-length": "0"}),
+        record("v2", "revisit", "a.org/x?a=1&b=2", 3, '"other"', status=304),
+        record("v3", "revisit", "a.org/x?a=1&b=2", 4, None, "d1", status=304),
+        record("v4", "revisit", "a.org/x?a=1&b=2", 5, status=304),
+        record("v5", "revisit", "a.org/x?a=1&b=2", 0, '"e"', status=304),
+        record("v6", "revisit", None, 9, '"e"', status=304),
+        record("q", None, "a.org/x", 1),
+    ]
+    schema = "record_id string, kind string, url string, captured long, status int, etag string, last_modified string, headers map<string,string>, payload string, full string"
+    df = spark.createDataFrame(rows, schema)
+    got = {r["record_id"]: r for r in revisits.resolve_revisits(df).collect()}
+    assert {k: r["outcome"] for k, r in got.items()} == {"v1": "resolved", "v2": "changed", "v3": "resolved", "v4": "unverified", "v5": "missing", "v6": "missing"}
+    assert got["v1"]["headers"] == {"etag": '"e"', "x": "2", "content-length": "9"} and got["v1"]["payload"] == "B"
+    assert got["v2"]["payload"] is None and got["v6"]["url_key"] is None
+    assert revisits.resolve_revisits(df.limit(0)).collect() == []
+
+
+def test_quotes_rebuild_threads(spark):
+    rows = [
+        ("a", 1, "Hello\nthere"),
+        ("b", 2, "> hello  THERE\nSure"),
+        ("c", 3, "> > Hello there\n> Sure\nThanks"),
+        ("d", 4, "> > Sure\n> lost reply\nStill here"),
+        ("e", 5, None),
+        ("f", 6, ""),
+        ("g", 7, "> Hello\n> there\nAlso me"),
+    ]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "msg_id string, sent long, body string, level string")
+    got = sorted_rows(quotes.conversations(df))
+    assert got == [
+        ("a", 0, "a", None, 0, "Hello\nthere"), ("a", 1, "b", "a", 1, "Sure"), ("a", 2, "c", "b", 2, "Thanks"),
+        ("a", 3, "d", "b", 2, "Still here"), ("a", 4, "g", "a", 1, "Also me"), ("e", 0, "e", None, 0, ""), ("f", 0, "f", None, 0, ""),
+    ]
+    assert quotes.conversations(df.limit(0)).collect() == []
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd_documents, no_documents, sf_dir):
+    for docs in (odd_documents[1], no_documents):
+        for (name, stage), last in zip(corpus_pipeline.STAGES, itertools.chain([False] * 4, [True])):
+            found = stage(spark, docs, sf_dir)
+            assert last or found.columns == docs.columns, name
+            assert found.count() <= docs.count()
+
+
+def test_pipeline_keeps_one_of_each_group_and_drops_leaks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    groups = {r["doc_id"]: r["component_id"] for r in corpus_pipeline.jaccard_components(docs, 80, 5).collect()}
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, sf_dir).collect()} == set(groups.values())
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    leak = docs.limit(1).withColumns({"doc_id": F.lit(-5).cast("long"), "text": F.lit(f"so {item} it is")})
+    assert corpus_pipeline.benchmark_leaks(spark, leak, sf_dir).count() == 0
+    result = corpus_pipeline.run(spark, sf_dir)
+    assert 0 < result.count() <= docs.count() and result.filter("taken > 3 * size").count() == 0
