@@ -40,7 +40,7 @@ SAMPLE_DOCUMENTS = 2_000  # read by the cost estimate; more than this only makes
 COMMON_SHINGLES = 50_000  # most shingles that the order puts last
 LARGEST_BOUNDARY = 24
 BITS = 1024
-BLOCK = 512  # sets in one side of a compared block
+BLOCK = 256  # sets in one side of a compared block
 LIST_BLOCK = 2_048  # rows in one side of a compared block of an inverted list
 _SUBSET = np.uint64(0xA24BAED4963EE407)
 _PLACE = mix(np.arange(1, 65, dtype=np.uint64))
@@ -361,7 +361,7 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
-    width = max(1, (8 << 20) // len(sets))
+    width = max(1, (2 << 20) // len(sets))
     for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
         a, b = np.searchsorted(code, [at, at + width])
         member = np.zeros((len(sets), width), np.float32)

@@ -1,7 +1,7 @@
 """Words, word n-grams and winnowing over whole Arrow batches with numpy.
 
 A word is a run of bytes outside ``\\x20`` and ``\\x09``-``\\x0D``. UTF-8 never uses these bytes inside
-another character, so the work is done on the raw bytes of a column, a megabyte at a time, and the
+another character, so the work is done on the raw bytes of a column, a quarter of a megabyte at a time, and the
 memory a task needs follows the size of one Arrow batch and not of the table.
 
 Hashes are 64 bits wide and depend on the words alone: the same words give the same hash in any
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 # Odd multipliers of the rolling hashes (any odd numbers do).
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
@@ -185,7 +185,7 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``most`` bytes of text; a longer text stands alone."""
     for batch in batches:
         if batch.num_rows == 0:
