@@ -9,7 +9,7 @@ c(s, t) = ceil(p (s + t) / (100 + p)) shingles.
 - **Heavy sets** scan inverted lists. In an order of all shingles that puts common ones last, two linked sets
   share one of their first s - c + 1, so only lists of those are kept, for heavy sets and for light ones near
   the boundary. A row whose list holds no set of a fitting size goes at once. Within a list, the parity of a
-  set's shingles over 1,024 bits gives a lower bound of how far two sets differ and rules pairs out.
+  set's shingles over as many bits or more gives a lower bound of how far two sets differ and rules pairs out.
 - The **boundary** is where enumerating a set's subsets costs more than scanning its lists, by
   the counts of a sample of the documents.
 
@@ -39,8 +39,8 @@ SHINGLE = 3
 SAMPLE_DOCUMENTS = 2_000  # read by the cost estimate; more than this only makes it finer
 COMMON_SHINGLES = 50_000  # most shingles that the order puts last
 LARGEST_BOUNDARY = 24
-BITS = 1024
-BLOCK = 256  # sets in one side of a compared block
+LEAST_BITS = 1024
+BLOCK = 512  # sets in one side of a compared block
 LIST_BLOCK = 2_048  # rows in one side of a compared block of an inverted list
 _SUBSET = np.uint64(0xA24BAED4963EE407)
 _PLACE = mix(np.arange(1, 65, dtype=np.uint64))
@@ -97,11 +97,18 @@ class Sets:
         self.key = signed(mix(keys + self.n.astype(np.uint64)))
 
     def parity(self) -> pa.Array:
-        """For each set, which of BITS positions an odd number of its shingles fall on."""
-        spot = self.owner * BITS + (self.values >> np.uint64(64 - 10)).astype(np.int64)
-        bits = np.bincount(spot, minlength=len(self.n) * BITS).astype(np.uint8) & 1
-        packed = np.packbits(bits.reshape(len(self.n), BITS), axis=1)
-        return pa.array([row.tobytes() for row in packed], pa.binary())
+        """For each set, which of its bits an odd number of its shingles fall on; larger sets have more bits."""
+        bits = parity_bits(self.n)
+        first = np.concatenate([[0], np.cumsum(bits)])
+        spot = first[self.owner] + ((self.values >> np.uint64(20)).astype(np.int64) & (bits[self.owner] - 1))
+        odd = np.bincount(spot, minlength=int(first[-1])).astype(np.uint8) & 1
+        packed = np.packbits(odd).tobytes()
+        return pa.array([packed[i // 8 : j // 8] for i, j in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())
+
+
+def parity_bits(n: np.ndarray) -> np.ndarray:
+    """A power of two that is at least the size of the set, and LEAST_BITS."""
+    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
 
 
 def _describe(shingle: int):
@@ -245,8 +252,42 @@ def _meetings(percent: int):
     return meetings
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def _folded(bits: np.ndarray) -> np.ndarray:
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
+class Parities:
+    """The parities of the rows of a block, by their number of bits, to compare one row with others."""
+
+    def __init__(self, raw: list[bytes]):
+        self.own = [np.frombuffer(r, np.uint64) for r in raw]
+        words = np.array([len(o) for o in self.own])
+        self.classes = []
+        for size in np.unique(words):
+            rows = np.flatnonzero(words == size)
+            matrix = np.array([self.own[i] for i in rows])
+            self.classes.append((int(size), rows, matrix, _folded(matrix)))
+
+    def apart(self, i: int, js: np.ndarray) -> np.ndarray:
+        """A lower bound of how many shingles only one of row i and each row of js (sorted) has."""
+        out, mine = np.zeros(len(js), np.int64), self.own[i]
+        for size, rows, matrix, half in self.classes:
+            at = np.searchsorted(rows, js)
+            here = np.flatnonzero(rows[np.minimum(at, len(rows) - 1)] == js)
+            if not len(here):
+                continue
+            # Sizes that fit differ by less than half, so bits differ by one doubling at most.
+            if size == len(mine):
+                other, own = matrix[at[here]], mine
+            elif size == 2 * len(mine):
+                other, own = half[at[here]], mine
+            elif 2 * size == len(mine):
+                other, own = matrix[at[here]], _folded(mine)
+            else:
+                continue
+            out[here] = np.bitwise_count(other ^ own).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _proposals(percent: int):
@@ -255,7 +296,7 @@ def _proposals(percent: int):
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
         cols = {c: table.column(c).to_numpy() for c in ("route", "bi", "bj", "own", "n", "t")}
-        bits = _bits(table.column("parity"))
+        parity = table.column("parity")
         new = np.append(np.flatnonzero(changes(cols["route"], cols["bi"], cols["bj"])), table.num_rows)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(new[:-1], new[1:]):
@@ -263,6 +304,7 @@ def _proposals(percent: int):
                 continue
             n, t, own = cols["n"][lo:hi].astype(np.int64), cols["t"][lo:hi], cols["own"][lo:hi]
             across = cols["bi"][lo] != cols["bj"][lo]
+            parities = Parities(parity.slice(lo, hi - lo).to_pylist())
             for i in range(hi - lo - 1):
                 js = slice(i + 1, hi - lo)
                 fits = _fits(np.minimum(n[i], n[js]), np.maximum(n[i], n[js]), percent) & (t[js] != t[i])
@@ -271,8 +313,7 @@ def _proposals(percent: int):
                 js = np.flatnonzero(fits) + i + 1
                 if not len(js):
                     continue
-                apart = np.bitwise_count(bits[lo + i] ^ bits[lo + js]).sum(axis=1, dtype=np.int64)
-                js = js[apart <= n[i] + n[js] - 2 * overlap(n[i], n[js], percent)]
+                js = js[parities.apart(i, js) <= n[i] + n[js] - 2 * overlap(n[i], n[js], percent)]
                 if len(js):
                     left.append(np.full(len(js), t[i]))
                     right.append(t[js])
