@@ -1,5 +1,7 @@
 """Degrees, their distributions, and network totals."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bipath.operators.edges import distinct_dti
@@ -61,29 +63,28 @@ def label_histogram(amount: DataFrame) -> DataFrame:
 def network_summary(dti: DataFrame, ppi_raw: DataFrame, symmetric: DataFrame, strong: DataFrame) -> DataFrame:
     """(metric, value) rows: sizes of the edge sets and of the entity sets behind them.
 
-    Distinct entities are counted as rows of a grouped frame, which collapses repeats on the map
-    side, and each frame is grouped once per entity kind.
+    Each edge set is read once and grouped with counts; its row total is a sum over the groups. A null entity
+    counts as one entity.
     """
 
-    def rows(df, metric):
-        return df.agg(_rows().alias("value")).select(F.lit(metric).alias("metric"), "value")
+    def entities(column):
+        return F.count_distinct(column) + F.coalesce(F.max(F.col(column).isNull().cast("int")), F.lit(0))
+
+    def metrics(grouped, **values):
+        totals = grouped.agg(*(F.coalesce(v.cast("long"), F.lit(0)).alias(k) for k, v in values.items()))
+        pairs = F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in values))
+        return totals.select(F.inline(pairs))
 
-    def distinct(df, column, metric):
-        return rows(df.select(column).distinct(), metric)
+    def grouped(df, *columns):
+        return df.groupBy(*columns).agg(_rows().alias("n"))
 
-    targets = distinct_dti(dti)
     frames = [
-        rows(dti, "dti_rows"),
-        rows(targets, "dti"),
-        distinct(dti, "drugId", "drugs"),
-        distinct(dti, "proteinId", "targets"),
-        rows(ppi_raw, "ppi_rows"),
-        distinct(ppi_raw, "proteinAId", "interactors_a"),
-        rows(symmetric, "ppi"),
-        distinct(symmetric, "proteinAId", "proteins"),
-        distinct(strong, "proteinAId", "ppi_matrix_width"),
+        metrics(
+            grouped(dti, "drugId", "proteinId"),
+            dti_rows=F.sum("n"), dti=_rows(), drugs=entities("drugId"), targets=entities("proteinId"),
+        ),
+        metrics(grouped(ppi_raw, "proteinAId"), ppi_rows=F.sum("n"), interactors_a=_rows()),
+        metrics(grouped(symmetric, "proteinAId"), ppi=F.sum("n"), proteins=_rows()),
+        metrics(grouped(strong, "proteinAId"), ppi_matrix_width=_rows()),
     ]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    return reduce(DataFrame.unionByName, frames)
