@@ -457,7 +457,7 @@ def als_fit_grid(spark, d):
 
 def _als_ranking(spark, counts, n):
     ratings = als.index_ratings(counts)
-    model = als.train(ratings, {k: v[:1] for k, v in ALS_GRID.items()}, seed=SEED).model
+    model = als.train(ratings, ALS_GRID, seed=SEED).model
     return als.recommend(model, ratings, n)
 
 
@@ -473,8 +473,7 @@ def index_to_name(spark, d):
 
 
 def als_cross_validate(spark, d):
-    grid = {k: v[:1] for k, v in ALS_GRID.items()}
-    return als.cross_validation(als.index_ratings(amount_once(spark, d)), grid, seed=SEED).metrics
+    return als.cross_validation(als.index_ratings(amount_once(spark, d)), ALS_GRID, seed=SEED).metrics
 
 
 def fm_fit_grid(spark, d):

@@ -190,3 +190,12 @@ def test_rank_matches_window_with_ties_and_a_hot_group(spark):
     assert rows(ranking.rank_per_group(df, "amount_interactions"), *columns) == want
     top = ranking.topk_per_group(df, 3, "amount_interactions")
     assert rows(top, *columns) == [r for r in want if r[3] <= 3]
+
+
+def test_network_summary_counts_nulls_as_one_entity_and_empty_sets_as_zero(spark, hand_ppi):
+    dti = spark.createDataFrame([("D1", "P1"), ("D1", "P1"), (None, "P2"), ("D2", None)], "drugId string, proteinId string")
+    symmetric = edges.symmetrize_ppi(hand_ppi)
+    got = dict(rows(degrees.network_summary(dti, hand_ppi, symmetric, symmetric.limit(0))))
+    assert (got["dti_rows"], got["dti"], got["drugs"], got["targets"]) == (4, 3, 3, 3)
+    assert (got["ppi_rows"], got["interactors_a"], got["ppi_matrix_width"]) == (7, 5, 0)
+    assert got["ppi"] == symmetric.count() and got["proteins"] == symmetric.select("proteinAId").distinct().count()
