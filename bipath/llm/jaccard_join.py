@@ -16,6 +16,10 @@ c(s, t) = ceil(p (s + t) / (100 + p)) shingles.
 Candidates leave a list as a forest, not as pairs, so groups of near copies stay linear in output. Sets that
 candidates connect are compared in full, in square blocks of bounded size, and the verified links again leave
 a block as a forest. Equal sets are one set from the start. No candidate is dropped.
+
+A list or cluster of several blocks first meets a few pivots of its own. The sets that link with the best pivot
+are in one component, so pairs among them need no look; only pairs with one of the others do. The work of a
+large group of near copies thus grows with its size, and with its square only for what no pivot reaches.
 """
 
 from __future__ import annotations
@@ -42,6 +46,7 @@ LARGEST_BOUNDARY = 24
 LEAST_BITS = 1024
 BLOCK = 512  # sets in one side of a compared block
 LIST_BLOCK = 2_048  # rows in one side of a compared block of an inverted list
+PIVOTS = 3  # of a group of several blocks
 _SUBSET = np.uint64(0xA24BAED4963EE407)
 _PLACE = mix(np.arange(1, 65, dtype=np.uint64))
 
@@ -328,18 +333,72 @@ def _proposals(percent: int):
     return proposals
 
 
-def _in_blocks(rows: DataFrame, group: str, member: str, block: int) -> DataFrame:
-    """Each row once for every pair of blocks (bi <= bj) of its group that its own block is in."""
-    blocks = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64(member, F.lit(3)), F.col("blocks")).cast("int")
-    placed = rows.join(blocks, group).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return (
-        placed.withColumn("other", other)
-        .withColumn("bi", F.least("own", "other"))
-        .withColumn("bj", F.greatest("own", "other"))
-        .drop("blocks", "other")
-    )
+def _near_pivots(percent: int):
+    """(route, t, pivot): rows of a list block that size and parity do not part from a pivot of the list."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        keys = [table.column(c).to_numpy() for c in ("route", "bi")]
+        n, t, is_pivot = (table.column(c).to_numpy() for c in ("n", "t", "is_pivot"))
+        n, parity = n.astype(np.int64), table.column("parity")
+        new = np.append(np.flatnonzero(changes(*keys)), table.num_rows)
+        found = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for lo, hi in zip(new[:-1], new[1:]):
+            parities = Parities(parity.slice(lo, hi - lo).to_pylist())
+            size, own = n[lo:hi], is_pivot[lo:hi]
+            for i in np.flatnonzero(own):
+                js = np.flatnonzero(~own & _fits(np.minimum(size[i], size), np.maximum(size[i], size), percent))
+                js = js[parities.apart(i, js) <= size[i] + size[js] - 2 * overlap(size[i], size[js], percent)]
+                for rows, values in zip(found, (keys[0][lo + js], t[lo + js], np.full(len(js), t[lo + i]))):
+                    rows.append(values)
+        route, node, pivot = map(np.concatenate, found)
+        yield batch_of(route=route, t=node, pivot=pivot)
+
+    def near(batches):
+        yield from whole_groups(batches, ["route", "bi"], work)
+
+    return near
+
+
+# -- groups in blocks --------------------------------------------------------------------------
+
+
+def _with_pivots(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """The rows of groups of several blocks, each in its block ``bi``, and the group's pivots in all of them."""
+    pivots = F.array_distinct(F.array(*(F.min_by("t", F.xxhash64("t", F.lit(i))) for i in range(PIVOTS))))
+    count = F.ceil(F.count(F.lit(1)) / block).cast("int")
+    large = rows.groupBy(group).agg(count.alias("blocks"), pivots.alias("pivots")).filter("blocks > 1")
+    own = F.pmod(F.xxhash64("t", F.lit(3)), F.col("blocks")).cast("int")
+    members = rows.join(large.select(group, "blocks"), group).withColumns({"bi": own, "is_pivot": F.lit(False)})
+    chosen = large.select(group, "blocks", F.explode("pivots").alias("t")).join(rows, [group, "t"])
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return members.unionByName(chosen.withColumns({"bi": every, "is_pivot": F.lit(True)})).drop("blocks")
+
+
+def _settled(links: DataFrame, group: str) -> DataFrame:
+    """(group, t, pivot) of the rows that link with the pivot that most rows of their group link with."""
+    tally = links.groupBy(group, "pivot").agg(F.count(F.lit(1)).alias("links"))
+    best = tally.groupBy(group).agg(F.max_by("pivot", F.struct("links", "pivot")).alias("pivot"))
+    return links.join(best, [group, "pivot"]).select(group, "t", "pivot")
+
+
+def _placed(rows: DataFrame, settled: DataFrame, group: str, block: int) -> DataFrame:
+    """Each row with its own block and the last block it meets: open rows meet all blocks, settled ones the open."""
+    marks = settled.select(group, "t", F.lit(True).alias("settled"))
+    marked = rows.join(marks, [group, "t"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    count = lambda of: F.ceil(F.count_if(of) / block).cast("int")
+    blocks = marked.groupBy(group).agg(count(~F.col("settled")).alias("open"), count(F.col("settled")).alias("shut"))
+    among = lambda n: F.pmod(F.xxhash64("t", F.lit(3)), F.greatest(F.col(n), F.lit(1))).cast("int")
+    own = F.when(F.col("settled"), F.col("open") + among("shut")).otherwise(among("open"))
+    last = F.col("open") - 1 + F.when(F.col("settled"), 0).otherwise(F.col("shut"))
+    placed = marked.join(blocks, group).withColumns({"own": own, "last": last})
+    return placed.filter("last >= 0").drop("settled", "open", "shut")
+
+
+def _in_blocks(placed: DataFrame) -> DataFrame:
+    """Each row once for every pair of blocks (bi <= bj) that it takes part in."""
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    return met.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop("last", "other")
 
 
 # -- verification ------------------------------------------------------------------------------
@@ -352,14 +411,43 @@ def _values(shingle: int):
             # A doc_id may have come with several texts: only the row of this very set stands for it.
             own = np.flatnonzero((sets.n > 0) & (sets.key == longs(batch, "t")))
             raw = [sets.values[sets.first[i] : sets.first[i + 1]].tobytes() for i in own]
-            yield batch_of(
-                cluster=longs(batch, "cluster")[own], t=sets.key[own], n=sets.n[own].astype(np.int32),
-                shingles=pa.array(raw, pa.binary()),
-            )
+            rest = {c: column(batch, c).take(pa.array(own)) for c in batch.schema.names if c != "text"}
+            yield batch_of(**rest, n=sets.n[own].astype(np.int32), shingles=pa.array(raw, pa.binary()))
 
     return values
 
 
+def _linked_pivots(percent: int):
+    """(cluster, t, pivot): rows of a cluster block that are similar to a pivot of the cluster."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        keys = [table.column(c).to_numpy() for c in ("cluster", "bi")]
+        n, t, is_pivot = (table.column(c).to_numpy() for c in ("n", "t", "is_pivot"))
+        n, shingles = n.astype(np.int64), table.column("shingles")
+        new = np.append(np.flatnonzero(changes(*keys)), table.num_rows)
+        found = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for lo, hi in zip(new[:-1], new[1:]):
+            sets = [np.frombuffer(shingles[i].as_py(), np.uint64) for i in range(lo, hi)]
+            members = np.flatnonzero(~is_pivot[lo:hi])
+            if not len(members):
+                continue
+            values = np.concatenate([sets[j] for j in members])
+            owner = np.repeat(np.arange(len(members)), n[lo + members])
+            for i in np.flatnonzero(is_pivot[lo:hi]):
+                common = np.bincount(owner[np.isin(values, sets[i])], minlength=len(members))
+                js = members[100 * common >= percent * (n[lo + i] + n[lo + members] - common)]
+                for rows, ids in zip(found, (keys[0][lo + js], t[lo + js], np.full(len(js), t[lo + i]))):
+                    rows.append(ids)
+        cluster, node, pivot = map(np.concatenate, found)
+        yield batch_of(cluster=cluster, t=node, pivot=pivot)
+
+    def linked(batches):
+        yield from whole_groups(batches, ["cluster", "bi"], work)
+
+    return linked
+
+
 def _verified(percent: int):
     """A forest over the pairs of each cluster block that are similar, all shingles compared."""
 
@@ -445,26 +533,48 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT, shingle: in
     )
     # One row per set: its first document and its parity.
     sets = live.groupBy("t").agg(F.min_by("parity", "doc_id").alias("parity"), F.min("doc_id").alias("first"))
+    parities = sets.select("t", "parity")
     listed = met.filter(F.col("b").isNull()).select("route", "n", F.col("a").alias("t"))
-    lists = _in_blocks(listed, "route", "t", LIST_BLOCK).join(sets.select("t", "parity"), "t")
+    near = (
+        _with_pivots(listed, "route", LIST_BLOCK)
+        .join(parities, "t")
+        .repartition("route", "bi")
+        .sortWithinPartitions("route", "bi")
+        .mapInArrow(_near_pivots(percent), "route long, t long, pivot long")
+    )
+    near = _settled(written(near, "near-pivots"), "route")
+    lists = _in_blocks(_placed(listed, near, "route", LIST_BLOCK)).join(parities, "t")
     proposed = (
         lists.repartition("route", "bi", "bj")
         .sortWithinPartitions("route", "bi", "bj")
         .mapInArrow(_proposals(percent), "a long, b long")
     )
+    proposed = proposed.unionByName(near.select(F.col("t").alias("a"), F.col("pivot").alias("b")).filter("a <> b"))
     clusters = written(connected_components(proposed), "clusters")
-    members = clusters.select(F.col("node").alias("t"), F.col("component").alias("cluster")).unionByName(
-        clusters.select(F.col("component").alias("t"), F.col("component").alias("cluster")).distinct()
+    members = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("t")).unionByName(
+        clusters.select(F.col("component").alias("cluster"), F.col("component").alias("t")).distinct()
+    )
+
+    def compared(rows: DataFrame, places: str) -> DataFrame:
+        """The shingles of each row, from the text of the first document that has the set."""
+        firsts = rows.join(sets.select("t", F.col("first").alias("doc_id")), "t")
+        texts = known.join(firsts, "doc_id").select(*rows.columns, "text")
+        return texts.mapInArrow(_values(shingle), f"{places}, n int, shingles binary")
+
+    linked_pivots = (
+        compared(_with_pivots(members, "cluster", BLOCK), "cluster long, t long, bi int, is_pivot boolean")
+        .repartition("cluster", "bi")
+        .sortWithinPartitions("cluster", "bi")
+        .mapInArrow(_linked_pivots(percent), "cluster long, t long, pivot long")
     )
-    firsts = members.join(sets.select("t", F.col("first").alias("doc_id")), "t")
-    texts = known.join(firsts, "doc_id").select("cluster", "t", "text")
-    values = texts.mapInArrow(_values(shingle), "cluster long, t long, n int, shingles binary")
+    settled = _settled(written(linked_pivots, "linked-pivots"), "cluster")
     verified = (
-        _in_blocks(values, "cluster", "t", BLOCK)
+        _in_blocks(compared(_placed(members, settled, "cluster", BLOCK), "cluster long, t long, own int, last int"))
         .repartition("cluster", "bi", "bj")
         .sortWithinPartitions("cluster", "bi", "bj")
         .mapInArrow(_verified(percent), "a long, b long")
     )
+    verified = verified.unionByName(settled.select(F.col("t").alias("a"), F.col("pivot").alias("b")).filter("a <> b"))
     subsets = met.filter(F.col("b").isNotNull()).select("a", "b")
     found = written(connected_components(verified.unionByName(subsets)), "components")
     linked = sets.select("t", "first").join(found.withColumnRenamed("node", "t"), "t", "left")

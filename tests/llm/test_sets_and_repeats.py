@@ -66,6 +66,50 @@ def test_light_sets_alone_and_lists_alone_agree(odd_documents, monkeypatch):
         assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect()), key=repr) == want
 
 
+def test_near_copies_around_pivots_and_chains(spark, monkeypatch):
+    """Groups of many blocks: all near one text, drifting away from it step by step, and two groups with a bridge."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+
+    def edited(text, n):
+        text = list(text)
+        for i in rng.sample(range(len(text)), n):
+            text[i] = f"x{rng.randrange(10_000)}"
+        return text
+
+    texts = [edited(base, 1) for _ in range(40)]
+    other = edited(base, 9)
+    texts += [edited(other, 1) for _ in range(25)] + [edited(base, 20) for _ in range(5)]
+    for _ in range(30):
+        texts.append(edited(texts[-1], 1))
+    rows = [(i, " ".join(t)) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 4)
+    want = components(rows, 3, 90)
+    assert 2 < len({c for *_, c in want}) < len(rows) / 2
+    assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect())) == sorted(want)
+
+
+def test_blocks_hold_each_pair_with_an_open_row_once(spark):
+    rows = spark.range(60).selectExpr("id % 2 AS cluster", "id AS t")
+    settled = rows.filter("t % 2 = 0 AND t < 40 OR t = 1").selectExpr("cluster", "t", "0L AS pivot")
+    placed = jaccard_join._in_blocks(jaccard_join._placed(rows, settled, "cluster", 5)).collect()
+    shut = {r["t"] for r in settled.collect()}
+    blocks, seen = {}, {}
+    for r in placed:
+        blocks.setdefault((r["cluster"], r["bi"], r["bj"]), []).append((r["t"], r["own"]))
+    for (_, bi, bj), members in blocks.items():
+        for x, own_x in members:
+            for y, own_y in members:
+                if x < y and (bi == bj or own_x != own_y):
+                    seen[x, y] = seen.get((x, y), 0) + 1
+    wanted = {(x, y) for x in range(60) for y in range(x + 2, 60, 2) if x not in shut or y not in shut}
+    assert set(seen) == wanted and set(seen.values()) == {1}
+    alone = rows.selectExpr("cluster", "t", "0L AS pivot")
+    assert jaccard_join._in_blocks(jaccard_join._placed(rows, alone, "cluster", 5)).count() == 0
+
+
 def test_overlap_bound_equals_the_jaccard_test():
     for s in range(1, 60):
         for t in range(s, 70):
