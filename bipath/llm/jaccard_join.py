@@ -557,7 +557,8 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT, shingle: in
 
     def compared(rows: DataFrame, places: str) -> DataFrame:
         """The shingles of each row, from the text of the first document that has the set."""
-        firsts = rows.join(sets.select("t", F.col("first").alias("doc_id")), "t")
+        # Written, so that the planner knows its size and moves the texts only where it must.
+        firsts = written(rows.join(sets.select("t", F.col("first").alias("doc_id")), "t"), "firsts")
         texts = known.join(firsts, "doc_id").select(*rows.columns, "text")
         return texts.mapInArrow(_values(shingle), f"{places}, n int, shingles binary")
 
