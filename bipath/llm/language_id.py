@@ -5,51 +5,64 @@ from left to right into phrases, each the longest match in that automaton; the f
 text is to the language. With c phrases over m symbols and a sample of n symbols the cross entropy is about
 c * log2(n) / m bits a symbol, and the language with the least wins.
 
-Symbols are lower-cased letters and one mark for each run of anything else. The automata are
-tables of numbers, and a task parses all windows of its batch against all languages in step, one symbol at a time.
-Windows bound the number of steps: a phrase ends at the latest after ``SPAN`` symbols of text.
+Every label is learned. Symbols are lower-cased letters and one mark for each run of anything else. An automaton knows
+the letters of its own sample, and any other letter is a phrase of its own there. The automata are packed
+tables of numbers whose size follows the sample and not the alphabet; they are broadcast in blocks of languages, one
+of which a task holds at a time. A task parses all windows of its batch against the languages of a block in step, one
+symbol at a time. Windows bound the number of steps: a phrase ends at the latest after ``SPAN`` symbols of text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from bipath.llm.samples import bounded_sample, held_out, remainder
+from bipath.llm.samples import held_out, position, remainder
 from bipath.llm.streams import batch_of, column
 from bipath.llm.words import pieces
+from bipath.runtime import written
 
 SYMBOLS = 20_000  # of each language's sample; its automaton has at most twice as many states
 DOCUMENTS = 64  # most documents in a language's sample
 DOCUMENT_CHARACTERS = 4_000  # of one document in the sample
-LANGUAGES = 24  # the most frequent labels are learned
-ALPHABET = 62  # most frequent letters of the samples; other letters match nothing
+LANGUAGES = 24  # of one broadcast block
 SPAN = 1_024
 UNKNOWN = "und"
 _MARK, _OTHER = 0, 1
 _NONE, _DEAD = 0, 1
+_TRIES = 64  # places for a row that are looked at together
 
 
 @dataclass
 class Model:
+    """A block of languages. State s goes with symbol c to ``table[base[s] + c]`` if ``owner`` there is s.
+
+    Without ``base`` the table is a plain one, states x symbols.
+    """
+
     languages: list[str]
-    letters: str
-    table: np.ndarray  # uint16: state of state and symbol, the automata one after the other
+    letters: str  # of all the samples
+    table: np.ndarray  # uint16: states, the automata one after the other
     root: np.ndarray  # uint16: languages x symbols
-    offset: np.ndarray  # where each automaton begins
+    offset: np.ndarray  # where the states of each automaton begin
     bits: np.ndarray  # log2 of each sample's size
+    base: np.ndarray | None = None
+    owner: np.ndarray | None = None  # uint16; 0 where nothing is
 
+    def __post_init__(self):
+        if self.base is None:
+            states, width = self.table.shape
+            inside = np.arange(states) - np.repeat(self.offset, np.diff(np.append(self.offset, states)))
+            self.base, self.owner = np.arange(states) * width, np.repeat(inside.astype(np.uint16), width)
+            self.table = self.table.reshape(-1)
 
-def suffix_automaton(symbols: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(transitions, those of the root) of the automaton of all substrings of ``symbols``.
 
-    State 0 stands for "no such substring" and state 1 accepts nothing more.
-    """
+def _transitions(symbols: list[int]) -> list[dict[int, int]]:
+    """The automaton of all substrings of ``symbols``: what follows each state, the root first."""
     follow: list[dict[int, int]] = [{}]
     longest, link, last = [0], [-1], 0
     for c in symbols:
@@ -75,40 +88,94 @@ def suffix_automaton(symbols: list[int], width: int) -> tuple[np.ndarray, np.nda
                     p = link[p]
                 link[q] = link[state] = copy
         last = state
+    return follow
+
+
+def _root(follow: list[dict[int, int]], width: int) -> np.ndarray:
+    root = np.full(width, _DEAD, np.uint16)
+    for c, to in follow[0].items():
+        root[c] = to + 1
+    return root
+
+
+def suffix_automaton(symbols: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(transitions, those of the root) of the automaton of all substrings of ``symbols``, as a plain table.
+
+    State 0 stands for "no such substring" and state 1 accepts nothing more.
+    """
+    follow = _transitions(symbols)
     # Root 0 is never entered, so states 1, 2, ... become 2, 3, ...
     table = np.zeros((len(follow) + 1, width), np.uint16)
     for state, edges in enumerate(follow):
         if state:
             for c, to in edges.items():
                 table[state + 1, c] = to + 1
-    root = np.full(width, _DEAD, np.uint16)
-    for c, to in follow[0].items():
-        root[c] = to + 1
-    return table, root
+    return table, _root(follow, width)
 
 
-def _lookup(letters: str) -> np.ndarray:
-    """Symbol of each code point; surrogates and non-letters are marks."""
-    codes = np.full(0x110000, _MARK, np.uint8)
-    for point in range(0x110000):
-        if chr(point).isalpha():
-            codes[point] = _OTHER
-    for i, letter in enumerate(letters):
-        codes[ord(letter)] = 2 + i
-    return codes
+def packed_automaton(symbols: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, table, transitions of the root): the rows of the plain table laid over each other.
+
+    Rows with most symbols come first, each where all its cells are free; those with one symbol fill the gaps. The last
+    ``width`` cells are empty, so that no lookup leaves the automaton.
+    """
+    follow = _transitions(symbols)
+    base = np.zeros(len(follow) + 1, np.int64)
+    rows = sorted((s for s in range(1, len(follow)) if len(follow[s]) > 1), key=lambda s: -len(follow[s]))
+    single = [s for s in range(1, len(follow)) if len(follow[s]) == 1]
+    cells = sum(len(follow[s]) for s in rows) + len(single)
+    free = np.ones(cells + 2 * width + _TRIES, bool)
+    at, size = 0, 0
+    for s in rows:
+        own = np.fromiter(follow[s], np.int64)
+        at, size = (at, size) if len(own) == size else (0, len(own))
+        while True:
+            if at + _TRIES + width > len(free):
+                free = np.concatenate([free, np.ones(len(free), bool)])
+            fits = free[np.arange(at, at + _TRIES)[:, None] + own].all(axis=1)
+            if fits.any():
+                break
+            at += _TRIES
+        at += int(np.argmax(fits))
+        free[at + own] = False
+        base[s + 1] = at
+    gaps = np.flatnonzero(np.append(free[width:], np.ones(len(single), bool)))[: len(single)] + width
+    base[np.array(single, np.int64) + 1] = gaps - np.array([next(iter(follow[s])) for s in single], np.int64)
+    owner = np.zeros(int(base.max()) + 2 * width, np.uint16)
+    table = np.zeros(len(owner), np.uint16)
+    for s in range(1, len(follow)):
+        for c, to in follow[s].items():
+            owner[base[s + 1] + c] = s + 1
+            table[base[s + 1] + c] = to + 1
+    return base, owner, table, _root(follow, width)
 
 
 _LOOKUPS: dict[str, np.ndarray] = {}
 
 
+def _lookup(letters: str) -> np.ndarray:
+    """Symbol of each code point; surrogates and non-letters are marks."""
+    if "" not in _LOOKUPS:
+        plain = np.full(0x110000, _MARK, np.uint8)
+        for point in range(0x110000):
+            if chr(point).isalpha():
+                plain[point] = _OTHER
+        _LOOKUPS[""] = plain
+    if letters not in _LOOKUPS:
+        for old in [k for k in _LOOKUPS if k]:
+            del _LOOKUPS[old]
+        codes = _LOOKUPS[""].astype(np.min_scalar_type(len(letters) + 1))
+        codes[[ord(letter) for letter in letters]] = np.arange(2, len(letters) + 2)
+        _LOOKUPS[letters] = codes
+    return _LOOKUPS[letters]
+
+
 def symbols_of(texts: list[str], letters: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols of all texts, where each text begins, letters in each text); a mark opens and ends each text."""
-    if letters not in _LOOKUPS:
-        _LOOKUPS[letters] = _lookup(letters)
     padded = [f" {t.lower()} " for t in texts]
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
     begin = np.concatenate([[0], np.cumsum([len(t) for t in padded])])
-    codes = _LOOKUPS[letters][points]
+    codes = _lookup(letters)[points]
     keep = codes != _MARK
     letter = np.concatenate([[0], np.cumsum(keep)])
     keep[1:] |= codes[:-1] != _MARK
@@ -126,8 +193,7 @@ def phrases(model: Model, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     length = np.minimum(SPAN, first[owner + 1] - start)
     order = np.argsort(-length, kind="stable")
     owner, start, length = owner[order], start[order], length[order]
-    width, many = model.root.shape[1], len(model.languages)
-    flat = model.table.reshape(-1)
+    many = len(model.languages)
     counts = np.ones((many, len(owner)), np.int64)
     states = np.zeros((many, len(owner)), np.int64)
     alive = len(owner)
@@ -140,56 +206,75 @@ def phrases(model: Model, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
             if step == 0:
                 states[k, :alive] = fresh
                 continue
-            to = flat[(states[k, :alive] + model.offset[k]) * width + now]
-            missed = to == _NONE
+            state = states[k, :alive]
+            at = model.base[state + model.offset[k]] + now
+            missed = (model.owner[at] != state) | (model.table[at] == _NONE)
             counts[k, :alive] += missed
-            states[k, :alive] = np.where(missed, fresh, to)
+            states[k, :alive] = np.where(missed, fresh, model.table[at])
     out = np.zeros((many, len(size)), np.int64)
     for k in range(many):
         out[k] = np.bincount(owner, weights=counts[k], minlength=len(size))
     return out
 
 
-def learn(documents: DataFrame) -> Model | None:
-    """The model of a bounded sample of rows that are not held out and have a lang; None without any."""
+def _sample(documents: DataFrame) -> DataFrame:
+    """(lang, text, place): at most ``DOCUMENTS`` rows of each lang that are not held out and hold a letter."""
     rows = documents.filter((remainder() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("doc_id", "lang", F.substring("text", 1, DOCUMENT_CHARACTERS).alias("text"))
-    sample, counts = bounded_sample(rows, "lang", "doc_id", DOCUMENTS, LANGUAGES)
-    texts = {lang: [r["text"] for r in sample if r["lang"] == lang] for lang in sorted(counts)}
-    texts = {lang: own for lang, own in texts.items() if any(c.isalpha() for t in own for c in t)}
-    if not texts:
-        return None
-    letters = Counter(c for own in texts.values() for t in own for c in t.lower() if c.isalpha())
-    alphabet = "".join(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
-    tables, roots, sizes = [], [], []
-    for own in texts.values():
-        symbols = symbols_of(own, alphabet)[0][:SYMBOLS].tolist()
-        table, root = suffix_automaton(symbols, len(alphabet) + 2)
-        tables.append(table)
-        roots.append(root)
-        sizes.append(len(symbols))
-    offset = np.concatenate([[0], np.cumsum([len(t) for t in tables])[:-1]])
-    return Model(list(texts), alphabet, np.concatenate(tables), np.array(roots), offset, np.log2(np.maximum(sizes, 2)))
+    rows = rows.filter(F.col("text").rlike("\\p{L}")).withColumn("place", position("doc_id"))
+    tally = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
+    drawn = rows.join(F.broadcast(tally), "lang").filter(F.col("place") <= F.greatest(F.lit(1.5 * DOCUMENTS) / F.col("n"), "least"))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
+    return drawn.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= DOCUMENTS).select("lang", "text", "nth")
+
+
+def learn(documents: DataFrame) -> Iterator[Model]:
+    """Models of blocks of languages, in alphabetical order: every lang of rows that are not held out and hold a letter.
+
+    The rows of a language's sample are bounded, and the driver holds one block at a time.
+    """
+    sample = written(_sample(documents), "language-sample")
+    names = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    for at in range(0, len(names), LANGUAGES):
+        block = names[at : at + LANGUAGES]
+        texts = {lang: [] for lang in block}
+        for r in sample.filter(F.col("lang").isin(block)).orderBy("lang", "nth").collect():
+            texts[r["lang"]].append(r["text"])
+        letters = "".join(sorted({c for own in texts.values() for t in own for c in t.lower() if c.isalpha()}))
+        symbols = [symbols_of(own, letters)[0][:SYMBOLS].tolist() for own in texts.values()]
+        bases, owners, tables, roots = zip(*(packed_automaton(own, len(letters) + 2) for own in symbols))
+        begin = np.cumsum([0, *(len(t) for t in tables)])
+        yield Model(
+            block, letters, np.concatenate(tables), np.array(roots), np.cumsum([0, *(len(b) for b in bases)])[:-1],
+            np.log2([max(len(own), 2) for own in symbols]),
+            np.concatenate([b + at for b, at in zip(bases, begin)]), np.concatenate(owners),
+        )
 
 
 def _predict(shared):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in pieces(batches, "text"):
             texts = [t or "" for t in column(batch, "text").to_pylist()]
             n = len(texts)
-            best, score, length = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
-            if model is not None:
+            best, known, length = np.full(n, UNKNOWN, object), np.zeros(n, bool), np.zeros(n)
+            least, second = np.full(n, np.inf), np.full(n, np.inf)
+            for block in shared:
+                model = block.value
                 symbols, first, letters = symbols_of(texts, model.letters)
+                known, size = letters > 0, np.diff(first)
                 count = phrases(model, symbols, first)
-                entropy = count * model.bits[:, None] / np.maximum(np.diff(first), 1)
-                order = np.argsort(entropy, axis=0, kind="stable")
-                least = entropy[order[0], np.arange(n)]
-                second = entropy[order[1], np.arange(n)] if len(model.languages) > 1 else np.full(n, np.inf)
-                known = letters > 0
-                best[known] = np.array(model.languages, object)[order[0]][known]
-                score[known] = (1 - least / second)[known]
-                length[known] = (np.diff(first) / count[order[0], np.arange(n)])[known]
+                for k, language in enumerate(model.languages):
+                    entropy = count[k] * model.bits[k] / size
+                    better = known & (entropy < least)
+                    second = np.where(better, least, np.minimum(second, entropy))
+                    least = np.where(better, entropy, least)
+                    length = np.where(better, size / count[k], length)
+                    best[better] = language
+                if len(shared) > 1:
+                    # The worker reads the block again from its file; else it would keep all blocks.
+                    vars(block).pop("_value", None)
+            score = np.zeros(n)
+            score[known] = 1 - least[known] / second[known]
             columns = {f: column(batch, f) for f in batch.schema.names}
             yield batch_of(
                 **columns,
@@ -201,7 +286,7 @@ def _predict(shared):
     return predict
 
 
-def identify_language(documents: DataFrame, model: Model | None) -> DataFrame:
+def identify_language(documents: DataFrame, models: Iterable[Model]) -> DataFrame:
     """``documents`` (with ``text``) plus lang_pred, score and phrase_length.
 
     score is how much lower the entropy of the best language is than that of the second, from 0 (a
@@ -209,7 +294,7 @@ def identify_language(documents: DataFrame, model: Model | None) -> DataFrame:
     of a phrase. Null texts, texts without a letter, and all texts when nothing was learned
     are ``und`` with 0. Columns of these names in the input are replaced.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = [documents.sparkSession.sparkContext.broadcast(model) for model in models]
     kept = documents.drop("lang_pred", "score", "phrase_length")
     schema = T.StructType(list(kept.schema.fields)).add("lang_pred", "string").add("score", "double").add("phrase_length", "double")
     return kept.mapInArrow(_predict(shared), schema)

@@ -14,7 +14,7 @@ from bipath.llm.asof import latest_before
 from bipath.llm.queries import QUERIES
 from bipath.llm.sql import ORACLE
 from check_queries import as_rows, duck
-from odd_rows import no_documents, odd_documents  # noqa: F401
+from odd_rows import frame, no_documents, odd_documents  # noqa: F401
 
 D = "/root/testdata/sf0.01"
 
@@ -49,6 +49,42 @@ def test_language_of_odd_rows(odd_documents, no_documents):
     assert {(r["lang_pred"], r["score"]) for r in unlearned.collect()} == {("und", 0.0)}
 
 
+def languages(scripts, n, seed=5):
+    """Documents of languages with words of their own, and letters of one script each."""
+    rng, rows = random.Random(seed), []
+    for name, letters in scripts.items():
+        own = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(40)]
+        rows += [(name, " ".join(rng.choice(own) for _ in range(40))) for _ in range(n(name))]
+    return [(i, text, name, "s") for i, (name, text) in enumerate(rows)]
+
+
+def test_every_language_and_script_is_learned(spark):
+    def script(first, count):
+        return [chr(first + i) for i in range(count)]
+
+    scripts = {f"l{i:02}": script(ord("a"), 26) for i in range(24)}
+    scripts |= {f"{a}{i}": s for i in range(2) for a, s in (("cy", script(0x430, 32)), ("el", script(0x3B1, 24)), ("zh", script(0x4E00, 900)))}
+    rows = languages(scripts, lambda name: 14 if name[0] == "l" else 12)
+    got = language_id.language_of_documents(frame(spark, rows)).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert len(got) == len(rows) and {r["doc_id"]: r["lang_pred"] for r in got} == truth
+    assert all(r["phrase_length"] >= corpus_pipeline.LEAST_PHRASE for r in got)
+    kept = corpus_pipeline.language(spark, frame(spark, rows), None)
+    assert {r["doc_id"] for r in kept.collect()} == set(truth)
+
+
+def test_packed_automaton_equals_the_plain_table():
+    rng = random.Random(9)
+    for width, n in ((4, 300), (40, 2000), (900, 2000)):
+        symbols = [rng.randrange(width) for _ in range(n)]
+        plain, root = language_id.suffix_automaton(symbols, width)
+        base, owner, table, packed_root = language_id.packed_automaton(symbols, width)
+        assert np.array_equal(root, packed_root)
+        for s in range(1, len(plain)):
+            at = base[s] + np.arange(width)
+            assert np.array_equal(np.where(owner[at] == s, table[at], 0), plain[s])
+
+
 def test_phrases_equal_greedy_longest_matches(monkeypatch):
     rng = random.Random(2)
     samples = {name: "".join(rng.choice(letters) for _ in range(200)) for name, letters in (("x", "abcd"), ("y", "cdef"))}
