@@ -124,7 +124,8 @@ def _prepare(window: int, with_text: bool):
             ids, texts = longs(batch, "doc_id"), longs(batch, "t")
             order = np.lexsort((ids, texts))
             copy = np.zeros(len(ids), bool)
-            copy[order] = ~changes(texts[order])
+            # Rows with the least id of a text are one document, so they go on together.
+            copy[order] = ids[order] != ids[order][run_starts(changes(texts[order]))]
             out = {k: [] for k in ("text", "n_words", "n_removed", "kept_sha256", "kept")}
             for text, is_copy in zip(column(batch, "text"), copy.tolist()):
                 raw = (text.as_py() or "").encode()

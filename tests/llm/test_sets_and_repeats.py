@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from bipath.llm import decontamination, jaccard_join, substring_dedup, words
 from bipath.llm.components import connected_components
 from odd_rows import no_documents, odd_documents  # noqa: F401
@@ -153,6 +154,20 @@ def test_substring_dedup(odd_documents, window, gram):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(deduplicated(rows, window), key=repr)
 
 
+def test_repeated_rows_are_one_document_in_any_partitioning(spark):
+    rng = random.Random(21)
+    texts = [" ".join(f"r{rng.randrange(9999)}" for _ in range(60)) for _ in range(3)]
+    rows = [(4, texts[0]), (4, texts[0]), (9, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[1]), (7, texts[2]), (7, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(deduplicated(rows, 20), key=repr)
+    assert [r[2] for r in want].count(0) == 6
+    for parts in (1, 3, 8):
+        got = substring_dedup.substring_dedup(df.repartition(parts)).drop("text_key")
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+    kept = corpus_pipeline.repeated_passages(spark, df.coalesce(1), None).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted((r for r in rows if r not in ((9, texts[0]), (2, texts[1]))), key=repr)
+
+
 def test_substring_dedup_of_an_empty_table(no_documents):
     assert substring_dedup.substring_dedup(no_documents).collect() == []
 
