@@ -28,36 +28,45 @@ def at_level(lines: Column, level: Column) -> Column:
     return F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == level), lambda x: x["text"]), "\n")
 
 
-def passage_key(text: Column) -> Column:
-    """A hash of a passage without regard to case and white space; null where nothing is left."""
-    normal = F.lower(F.trim(F.regexp_replace(text, "\\s+", " ")))
-    return F.when(normal != "", F.sha2(normal, 256))
+def _normal(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(text, "\\s+", " ")))
+
+
+def passages(lines: Column, level: Column) -> Column:
+    """array<struct<size, key>> of one quote level: all of it, each unbroken block, and its paragraphs and lines.
+
+    Keys are hashes without regard to case and white space, each once; what is left empty has none.
+    """
+    cut = "\x1e"
+    blocks = F.array_join(F.transform(lines, lambda x: F.when(x["level"] == level, x["text"]).otherwise(cut)), "\n")
+    units = [F.array(at_level(lines, level)), *(F.split(blocks, p) for p in (cut, f"{cut}|\n\\s*\n", f"{cut}|\n"))]
+    normal = F.array_distinct(F.transform(F.concat(*units), _normal))
+    return F.transform(
+        F.filter(normal, lambda x: x != ""), lambda x: F.struct(F.length(x).alias("size"), F.sha2(x, 256).alias("key"))
+    )
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(msg_id, sent, parent_id, own): each message with the message it replies to and its text without quotes.
 
-    The passage of each quote level is looked up among the own texts of earlier messages; the parent is the
-    latest message with the passage of the lowest level that is found, so a reply to a lost message hangs on
-    the one which that quoted.
+    The passages of each quote level, whole and in parts, are looked up among the same parts of the own texts of
+    earlier messages. The parent is the latest message with the longest passage of the lowest level at which one is found, so
+    a reply to a lost message hangs on the one which that quoted.
     """
     lines = messages.select("msg_id", "sent", parsed_lines(F.col("body")).alias("lines"))
     own = at_level(F.col("lines"), F.lit(0))
     texts = written(lines.select("msg_id", "sent", F.trim(own).alias("own"), "lines"), "messages")
-    sources = texts.select(
-        "msg_id", "sent", F.lit(0).alias("level"), passage_key(F.col("own")).alias("key"), F.col("msg_id").alias("said")
-    )
     levels = F.array_distinct(F.transform("lines", lambda x: x["level"]))
-    quotes = (
-        texts.select("msg_id", "sent", "lines", F.explode(F.filter(levels, lambda x: x > 0)).alias("level"))
-        .select("msg_id", "sent", "level", passage_key(at_level(F.col("lines"), F.col("level"))).alias("key"))
-        .withColumn("said", F.lit(None).cast(messages.schema["msg_id"].dataType))
+    parts = texts.select("msg_id", "sent", "lines", F.explode(levels).alias("level"))
+    parts = parts.select("msg_id", "sent", "level", F.explode(passages(F.col("lines"), F.col("level"))).alias("part"))
+    both = parts.select(
+        "msg_id", "sent", "level", "part.size", "part.key", F.when(F.col("level") == 0, F.col("msg_id")).alias("said"),
+        (F.col("level") == 0).cast("int").alias("_own"),
     )
-    both = sources.unionByName(quotes)
     # Of one message the quotes come before its own text, so that it never answers itself.
-    found = latest_before(both.withColumn("_own", (F.col("level") == 0).cast("int")), "key", ["sent", "msg_id", "_own"], "said", "parent_id")
+    found = latest_before(both, "key", ["sent", "msg_id", "_own"], "said", "parent_id")
     parents = found.filter("level > 0 AND parent_id IS NOT NULL").groupBy("msg_id").agg(
-        F.min_by("parent_id", "level").alias("parent_id")
+        F.min_by("parent_id", F.struct("level", -F.col("size"), "key")).alias("parent_id")
     )
     return texts.select("msg_id", "sent", "own").join(parents, "msg_id", "left")
 
@@ -68,7 +77,8 @@ def conversations(messages: DataFrame) -> DataFrame:
     ``messages`` has msg_id (unique, not null), sent (orderable) and body; other columns are ignored.
     thread_id is the msg_id at the root, position counts from 0 in the order of sending, which puts every
     reply after its parent. Null or empty bodies are messages without text that nobody can quote. Where several messages
-    share a text, a quote means the latest earlier one. Rows with a null msg_id are ignored.
+    share a passage, a quote means the latest earlier one. A quote counts if one of its lines, paragraphs or blocks, or all of it,
+    is one of a text; a part of a line is none. Rows with a null msg_id are ignored.
 
     Roots are found by doubling: each round every message jumps to the root of its current ancestor, so the
     number of rounds is the logarithm of the longest thread. Positions come from running totals over range

@@ -251,6 +251,26 @@ def test_quotes_rebuild_threads(spark):
     assert quotes.conversations(df.limit(0)).collect() == []
 
 
+def test_trimmed_and_interleaved_quotes_find_their_message(spark):
+    rows = [
+        ("a", 1, "First point\nof two lines.\n\nSecond point.\n\nThird point\nends."),
+        ("b", 2, "Something else\nfrom somebody."),
+        ("inline", 3, "> First point\n> of two lines.\nYes.\n> Second point.\nNo."),
+        ("trimmed", 4, "> Third  point ends.\nGood"),
+        ("a line", 5, "> from somebody.\nWho?"),
+        ("two", 6, "> Second point.\nHm\n> Something else\n> from somebody.\nAll right"),
+        ("nested", 7, "> > Second point.\n> No.\nReally not?"),
+        ("whole inline", 8, "> > First point\n> > of two lines.\n> Yes.\n> > Second point.\n> No.\nSee"),
+        ("lost", 9, "> unknown\n> > Third point\nStill"),
+    ]
+    df = spark.createDataFrame(rows, "msg_id string, sent long, body string")
+    got = {r["msg_id"]: (r["thread_id"], r["parent_id"], r["depth"]) for r in quotes.conversations(df).collect()}
+    assert got == {
+        "a": ("a", None, 0), "b": ("b", None, 0), "inline": ("a", "a", 1), "trimmed": ("a", "a", 1), "a line": ("b", "b", 1),
+        "two": ("b", "b", 1), "nested": ("a", "inline", 2), "whole inline": ("a", "inline", 2), "lost": ("a", "a", 1),
+    }
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd_documents, no_documents, sf_dir):
     for docs in (odd_documents[1], no_documents):
         for (name, stage), last in zip(corpus_pipeline.STAGES, itertools.chain([False] * 4, [True])):
