@@ -30,12 +30,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies, once; those without an id all stay."""
+    """Keeps of each group of near copies one row: that of the least id, those without an id last.
+
+    Rows are compared by a key of their own, so neither a repeated nor a missing id hides one. Texts without words are near
+    nothing; of such rows each id stays once, and all without an id.
+    """
     ship(spark)
-    found = jaccard_components(docs, NEAR_PERCENT, NEAR_SHINGLE)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    keyed = written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed-documents")
+    found = jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), NEAR_PERCENT, NEAR_SHINGLE)
+    blank = F.col("n_shingles") == 0
+    named = found.withColumnRenamed("doc_id", "_key").join(keyed.select("_key", F.col("doc_id").alias("_id")), "_key")
+    kept = named.groupBy(
+        F.when(~blank, F.col("component_id")).alias("component"),
+        F.when(blank, F.col("_id")).alias("id"),
+        F.when(blank & F.col("_id").isNull(), F.col("_key")).alias("row"),
+    ).agg(F.min_by("_key", F.struct(F.col("_id").isNull(), "_id", "_key")).alias("_key"))
+    return keyed.join(kept.select("_key"), "_key", "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -279,6 +279,20 @@ def test_pipeline_stages_on_odd_rows(spark, odd_documents, no_documents, sf_dir)
             assert found.count() <= docs.count()
 
 
+def test_near_copies_with_repeated_and_missing_ids(spark):
+    rng = random.Random(31)
+    one, two, three, four = ([f"n{rng.randrange(10_000)}" for _ in range(80)] for _ in range(4))
+    near = {"one": [*one[:-1], "x"], "three": [*three[:-1], "x"], "four": [*four[:-1], "x"]}
+    texts = [(1, one), (2, near["one"]), (2, two), (5, four), (None, near["four"]), (None, three), (None, three), (None, near["three"])]
+    rows = [(i, " ".join(words), "en", "s") for i, words in texts] + [(7, "", "en", "s"), (7, "", "en", "s"), (8, None, "en", "s")]
+    for parts in (1, 4):
+        kept = [(r["doc_id"], (r["text"] or "").split()) for r in corpus_pipeline.near_copies(spark, frame(spark, rows).repartition(parts), None).collect()]
+        known = [r for r in kept if r[0] is not None]
+        assert sorted(known) == sorted([(1, one), (2, two), (5, four), (7, []), (8, [])])
+        (missing,) = [words for i, words in kept if i is None]
+        assert missing in (three, near["three"])
+
+
 def test_pipeline_keeps_one_of_each_group_and_drops_leaks(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     groups = {r["doc_id"]: r["component_id"] for r in corpus_pipeline.jaccard_components(docs, 80, 5).collect()}
