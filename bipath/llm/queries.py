@@ -12,6 +12,7 @@ from bipath.llm import (
     decontamination,
     jaccard_join,
     language_id,
+    merkle,
     mixing,
     quality,
     quotes,
@@ -126,10 +127,24 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op13_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's proof; of one row in seven a tampered leaf, with one more in n_chars, is checked."""
+    documents = table(spark, d, "documents")
+    claimed = [
+        F.col(c).cast("decimal(20,0)") + 1 if c == "n_chars" else F.col(c) for c in merkle.LEAF_COLUMNS
+    ]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf_digest(*claimed))
+    made = merkle.manifest(documents, keep={"doc_id": F.col("doc_id"), "tampered": tampered})
+    requests = made.leaves.select("tree", "rank", F.col("kept_doc_id").alias("id"), F.col("kept_tampered").alias("claimed"))
+    found = merkle.proofs(made, requests, with_proof=False)
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_revisits, op2_jaccard_join, op3_topk_search, op4_language_id, op5_mixing,
         op6_quotes, op7_quality, op8_decontamination, op9_substring_dedup, op10_toxicity,
+        op13_merkle_manifest,
     )
 }

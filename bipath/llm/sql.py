@@ -124,10 +124,66 @@ kept AS (
 
 OP9 = dedup_sql() + "SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM kept"
 
+# Unsigned CRC-32 of an ASCII string, a bit at a time; 3988292384 is the reversed polynomial (a fixed value).
+_CRC32 = """xor(4294967295, list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+def _leaf(n_chars: str) -> str:
+    values = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen(({v})::VARCHAR) || ':' || ({v})::VARCHAR, '-')" for v in values) + ")"
+
+
+def _tree(name: str, base: str) -> str:
+    """Common tables ``name`` (tree, level, i, n, d) of all nodes of the trees whose leaves ``base`` holds."""
+    return f"""
+{name}(tree, level, i, n, d) AS (
+  SELECT tree, 0, i, n, d FROM {base}
+  UNION ALL
+  SELECT tree, level + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY tree, level, i // 2)"""
+
+
+def _fold(name: str, tree: str, base: str) -> str:
+    return f"""
+{name}(id, tree, level, i, d, proof) AS (
+  SELECT id, tree, 0, i, d, proof FROM {base}
+  UNION ALL
+  SELECT f.id, f.tree, f.level + 1, f.i // 2,
+    sha256(CASE WHEN f.i % 2 = 0 THEN f.d || coalesce(s.d, '') ELSE s.d || f.d END), f.proof || coalesce(s.d, '')
+  FROM {name} f JOIN {tree} o ON o.tree IS NOT DISTINCT FROM f.tree AND o.level = f.level AND o.i = f.i AND o.n > 1
+  LEFT JOIN {tree} s ON s.tree IS NOT DISTINCT FROM f.tree AND s.level = f.level AND s.i = xor(f.i, 1))"""
+
+
+OP13 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n,
+    row_number() OVER () AS id
+  FROM (SELECT doc_id, lang AS tree, {_leaf("n_chars")} AS d,
+    CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf("n_chars + 1")} END AS tampered FROM documents)),
+{_tree("low", "leaves")},
+subroots AS (
+  SELECT tree AS lang, d, true AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+  FROM low WHERE n = 1),
+{_tree("top", "subroots")},
+asks AS (SELECT id, tree, i, coalesce(tampered, d) AS d, '' AS proof FROM leaves),
+{_fold("climb", "low", "asks")},
+mid AS (
+  SELECT c.id, true AS tree, s.i, c.d, c.proof FROM climb c
+  JOIN low o ON o.tree IS NOT DISTINCT FROM c.tree AND o.level = c.level AND o.i = c.i AND o.n = 1
+  JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.tree),
+{_fold("last", "top", "mid")},
+done AS (SELECT c.id, c.d, c.proof FROM last c JOIN top o ON o.level = c.level AND o.i = c.i AND o.n = 1)
+SELECT l.doc_id, l.d AS leaf, s.d AS subroot, r.d AS root, sha256(f.proof) AS proof_sha256, f.d AS folded_root, f.d = r.d AS verified
+FROM leaves l JOIN done f ON f.id = l.id JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.tree JOIN top r ON r.n = 1
+"""
+
 ORACLE = {
     "op1_revisits": OP1,
     "op2_jaccard_join": OP2,
     "op3_topk_search": OP3,
     "op6_quotes": OP6,
     "op9_substring_dedup": OP9,
+    "op13_merkle_manifest": OP13,
 }
