@@ -12,6 +12,7 @@ from bipath.llm import (
     decontamination,
     jaccard_join,
     language_id,
+    line_dedup,
     merkle,
     mixing,
     quality,
@@ -127,6 +128,10 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op12_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, d, "documents"), with_text=False).drop("kept")
+
+
 def op13_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Every row's proof; of one row in seven a tampered leaf, with one more in n_chars, is checked."""
     documents = table(spark, d, "documents")
@@ -145,6 +150,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_revisits, op2_jaccard_join, op3_topk_search, op4_language_id, op5_mixing,
         op6_quotes, op7_quality, op8_decontamination, op9_substring_dedup, op10_toxicity,
-        op13_merkle_manifest,
+        op12_line_dedup, op13_merkle_manifest,
     )
 }

@@ -124,6 +124,20 @@ kept AS (
 
 OP9 = dedup_sql() + "SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM kept"
 
+OP12 = f"""
+WITH split AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (
+  SELECT r, coalesce(doc_id, -9223372036854775808) AS doc_id, i, line,
+    {_LOWER.format("regexp_replace(line, '^[ \x09-\x0D]+|[ \x09-\x0D]+$', '', 'g')")} AS key
+  FROM (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM split)),
+repeated AS (
+  SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT l.*, coalesce(p.last <> l.doc_id, false) AS gone FROM lines l LEFT JOIN repeated p ON p.key = l.key)
+SELECT any_value(s.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked m JOIN split s ON s.r = m.r GROUP BY m.r
+"""
+
 # Unsigned CRC-32 of an ASCII string, a bit at a time; 3988292384 is the reversed polynomial (a fixed value).
 _CRC32 = """xor(4294967295, list_reduce(
   list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)),
@@ -185,5 +199,6 @@ ORACLE = {
     "op3_topk_search": OP3,
     "op6_quotes": OP6,
     "op9_substring_dedup": OP9,
+    "op12_line_dedup": OP12,
     "op13_merkle_manifest": OP13,
 }
