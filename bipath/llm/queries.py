@@ -15,6 +15,7 @@ from bipath.llm import (
     line_dedup,
     merkle,
     mixing,
+    periodic_runs,
     quality,
     quotes,
     revisits,
@@ -128,6 +129,34 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def looped_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): the words of one document in ten, by the crc32 of its id, go round in a loop from some word on."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10).cast("long"), F.size("words")
+    looped = documents.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words")).select(
+        "doc_id", "text", "words", F.when((h % 10 == 0) & (n > 0), g % n).cast("int").alias("a"), n.alias("n"), g.alias("g")
+    )
+    looped = looped.select("*", (F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1).cast("int").alias("p"))
+    rest = F.col("n") - F.col("a")
+    rounds = F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))
+    loop = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(F.flatten(rounds), F.lit(1), rest))
+    return looped.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(loop, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(looped_documents(table(spark, d, "documents")), with_text=False)
+    shown = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"), r.alias("r"))))["r"]
+    best = F.col("best")
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(shown, F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
 def op12_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, d, "documents"), with_text=False).drop("kept")
 
@@ -150,6 +179,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_revisits, op2_jaccard_join, op3_topk_search, op4_language_id, op5_mixing,
         op6_quotes, op7_quality, op8_decontamination, op9_substring_dedup, op10_toxicity,
-        op12_line_dedup, op13_merkle_manifest,
+        op11_periodic_runs, op12_line_dedup, op13_merkle_manifest,
     )
 }

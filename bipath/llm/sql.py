@@ -124,6 +124,41 @@ kept AS (
 
 OP9 = dedup_sql() + "SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM kept"
 
+# Unsigned CRC-32 of an ASCII string, a bit at a time; 3988292384 is the reversed polynomial (a fixed value).
+_CRC32 = """xor(4294967295, list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+OP11 = f"""
+WITH read AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w, {_CRC32.format("doc_id::VARCHAR")} AS h FROM documents),
+shaped AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM read),
+looped AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_concat(w[1:a], list_transform(range(n - a), lambda i: w[a + 1 + i % (1 + (n - a) // (3 + (h // 10) % 8))])) END AS w
+  FROM shaped),
+each AS (SELECT r, n, unnest(w) AS word, unnest(range(n)) AS i FROM looped),
+met AS (SELECT x.r, y.i, y.i - x.i AS q FROM each x JOIN each y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (
+  SELECT r, q, min(i) - q AS start, count(*) + q AS length FROM (
+    SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM met)
+  GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM stretches s WHERE NOT EXISTS (
+    SELECT 1 FROM stretches t WHERE t.r = s.r AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+gone AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM runs),
+kept AS (
+  SELECT e.r, string_agg(e.word, ' ' ORDER BY e.i) AS text FROM each e
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.r = e.r AND g.i = e.i) GROUP BY e.r),
+best AS (
+  SELECT r, count(*) AS n_runs, arg_min({{'s': start, 'l': length, 'q': q}}, (-length, start, q)) AS b,
+    string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS shown FROM runs GROUP BY r)
+SELECT l.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli,
+  sha256(coalesce(shown, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM looped l LEFT JOIN best USING (r) LEFT JOIN kept k USING (r)
+"""
+
 OP12 = f"""
 WITH split AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 lines AS (
@@ -138,12 +173,6 @@ SELECT any_value(s.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone
 FROM marked m JOIN split s ON s.r = m.r GROUP BY m.r
 """
 
-# Unsigned CRC-32 of an ASCII string, a bit at a time; 3988292384 is the reversed polynomial (a fixed value).
-_CRC32 = """xor(4294967295, list_reduce(
-  list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)),
-  lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
-    lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
-
 
 def _leaf(n_chars: str) -> str:
     values = ("doc_id", "source", "lang", n_chars, "text")
@@ -199,6 +228,7 @@ ORACLE = {
     "op3_topk_search": OP3,
     "op6_quotes": OP6,
     "op9_substring_dedup": OP9,
+    "op11_periodic_runs": OP11,
     "op12_line_dedup": OP12,
     "op13_merkle_manifest": OP13,
 }
