@@ -59,13 +59,16 @@ def split_drug_ids(dti_text: DataFrame) -> DataFrame:
 def validate(df: DataFrame, texts: list[str], number: str | None = None, strict: bool = False) -> DataFrame:
     """``df`` with a ``reason`` column: the first failed check of the row, null on a good one.
 
-    ``texts`` must be non-empty, ``number`` non-null. With ``strict`` the job fails on a bad row.
+    ``texts`` must be non-empty, ``number`` non-null. With ``strict`` the job fails on a bad row. A reason that a reader
+    has given already stays.
     """
     reason = F.lit(None).cast("string")
     if number is not None:
         reason = F.when(F.col(number).isNull(), F.lit(f"{number} is absent"))
     for name in reversed(texts):
         reason = F.when(is_blank(F.col(name)), F.lit(f"{name} is blank")).otherwise(reason)
+    if "reason" in df.columns:
+        reason = F.coalesce(F.col("reason"), reason)
     if strict:
         reason = F.when(reason.isNotNull(), F.raise_error(reason)).otherwise(reason)
     return df.withColumn("reason", reason)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from bipath import schemas
 from bipath.operators.cleaning import (
     clean_ppi_text,
     quarantined_rows,
@@ -19,11 +20,12 @@ from bipath.runtime import written
 from bipath.sinks import append_edges, insert_into_table
 from bipath.sources import (
     drug_smiles,
+    drugs_of,
+    parse_drug_xml,
+    parse_edges,
     protein_sequences,
     read_delimited,
-    read_drug_xml,
-    read_dti_json,
-    read_ppi_json,
+    rejected_elements,
 )
 
 
@@ -72,8 +74,9 @@ def structures_to_collections(
     spark: SparkSession, source: str, drug_collection: str, protein_collection: str, rejected_path: str
 ) -> tuple[Loaded, Loaded]:
     """Drugs and proteins of one XML dump, which is parsed once; malformed elements go to ``rejected_path``/elements."""
-    drugs = written(read_drug_xml(spark, source), "drugs")
-    append_edges(read_drug_xml(spark, source, rejected=True), f"{rejected_path}/elements")
+    parsed = written(parse_drug_xml(spark, source), "drugs")
+    drugs = drugs_of(parsed)
+    append_edges(rejected_elements(parsed), f"{rejected_path}/elements")
     smiles = validate(drug_smiles(drugs), ["drugId", "smiles"])
     fasta = validate(protein_sequences(drugs), ["proteinId", "fasta"])
     return (
@@ -87,8 +90,12 @@ def collection_to_table(spark: SparkSession, collection: str, table: str, **opti
 
 
 def dti_json_to_table(spark: SparkSession, source: str, table: str, rejected_path: str, **options: str) -> Loaded:
-    return _load(checked_dti(read_dti_json(spark, source)), rejected_path, lambda df: insert_into_table(df, table, **options))
+    """Rejected rows come with the text of their JSON object, be it broken or only short of an id."""
+    checked = checked_dti(parse_edges(spark, source, schemas.DTI))
+    return _load(checked, rejected_path, lambda df: insert_into_table(df.drop("element"), table, **options))
 
 
 def ppi_json_to_table(spark: SparkSession, source: str, table: str, rejected_path: str, **options: str) -> Loaded:
-    return _load(checked_ppi(read_ppi_json(spark, source)), rejected_path, lambda df: insert_into_table(df, table, **options))
+    """As :func:`dti_json_to_table`."""
+    checked = checked_ppi(parse_edges(spark, source, schemas.PPI))
+    return _load(checked, rejected_path, lambda df: insert_into_table(df.drop("element"), table, **options))

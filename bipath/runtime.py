@@ -6,6 +6,7 @@ folder where that setting is absent. ``intermediates`` gives the tables a lifeti
 """
 
 import contextlib
+import os
 import tempfile
 import uuid
 
@@ -14,6 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 _SCOPES: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where the session's own path does not hold it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}" if paths else root
+
+
 def shared_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:

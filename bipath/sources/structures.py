@@ -4,69 +4,47 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from bipath import schemas
 from bipath.functions.text import fasta_body
+from bipath.sources.splitting import split_elements, xml_elements
 
-
-# Fixed value of the dump: an outer drug element has attributes, in any order. Drugs nested in it, as those of
-# its pathways, carry none and begin with a plain <drug>.
-OUTER_DRUG = "<drug "
+ELEMENT = "drug"  # fixed value of the dump
 _CORRUPT = "_malformed"
 
 
-def _elements(spark: SparkSession, path: str, opening: str) -> DataFrame:
-    """(element): the text of each outer element, up to its closing tag or, if that is absent, whole.
+def parse_drug_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(element, drug, reason): every outer ``drug`` element of the dump, its text and its parsed form, read by many tasks.
 
-    A record that holds a second outer element, which begins in a way that ``opening`` does not match, fails the job.
+    Elements may have any attributes, or none, and hold drugs of their own, as those of their pathways. The reason is null
+    for a drug that could be read and has a primary id.
     """
-    records = spark.read.option("lineSep", opening).text(path)
-    # What stands before the first element begins with markup, a record with an attribute's name.
-    records = records.filter(~F.col("value").rlike(r"^\s*(\uFEFF|<|$)"))
-    tags = F.regexp_extract_all(F.concat(F.lit(opening), "value"), F.lit(r"</?drug(?=[\s>/])[^>]*>"), F.lit(0))
-    step = lambda tag: F.when(tag.startswith("</"), -1).when(tag.endswith("/>"), 0).otherwise(1)
-    walk = F.aggregate(
-        tags,
-        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ended")),
-        lambda s, tag: F.struct(
-            (s["depth"] + step(tag)).alias("depth"),
-            (s["ended"] + F.when(s["depth"] + step(tag) == 0, 1).otherwise(0)).alias("ended"),
-        ),
-    )
-    several = F.raise_error(F.concat(F.lit("more than one outer drug element in: "), F.substring("value", 1, 200)))
-    text = F.concat(F.lit(opening), "value")
-    whole = F.regexp_extract(text, r"(?s)^(.*</drug>)", 1)
-    checked = F.when(walk["ended"] > 1, several.cast("string")).when(whole != "", whole).otherwise(text)
-    return records.select(checked.alias("element"))
-
-
-def _parsed(elements: DataFrame) -> DataFrame:
     schema = T.StructType([*schemas.DRUG_XML.fields, T.StructField(_CORRUPT, T.StringType())])
-    options = {"rowTag": "drug", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    return elements.select("element", F.from_xml("element", schema, options).alias("drug"))
+    options = {"rowTag": ELEMENT, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    elements = split_elements(spark, path, xml_elements(ELEMENT))
+    parsed = elements.select("element", F.from_xml("element", schema, options).alias("drug"))
+    broken = F.col("drug").isNull() | F.col(f"drug.{_CORRUPT}").isNotNull()
+    reason = F.when(broken, "not well formed").when(_primary_id("drug.").isNull(), "no primary id")
+    return parsed.withColumn("reason", reason)
 
 
-def _rejection() -> Column:
-    broken = F.col("drug").isNull() | F.col(f"drug.{_CORRUPT}").isNotNull()
-    return F.when(broken, "not well formed").when(_primary_id("drug.").isNull(), "no primary id")
+def drugs_of(parsed: DataFrame) -> DataFrame:
+    """The drugs of :func:`parse_drug_xml` that could be read."""
+    kept = [F.col(f"drug.`{f.name}`") for f in schemas.DRUG_XML.fields]
+    return parsed.filter(F.col("reason").isNull() | (F.col("reason") == "no primary id")).select(*kept)
+
 
+def rejected_elements(parsed: DataFrame) -> DataFrame:
+    """(element, reason) of the elements that give no drug."""
+    return parsed.filter(F.col("reason").isNotNull()).select("element", "reason")
 
-def read_drug_xml(spark: SparkSession, path: str, opening: str | None = OUTER_DRUG, rejected: bool = False) -> DataFrame:
-    """One row per well-formed outer ``drug`` element of the dump.
 
-    The XML source reads a file in one task, and a dump is one file. So the file is read as text
-    whose records end where the next outer element opens, which splits it over tasks, and each
-    record is parsed as its own element. Pass ``opening=None`` for the plain XML source.
+def read_drug_xml(spark: SparkSession, path: str, plain: bool = False, rejected: bool = False) -> DataFrame:
+    """One row per well-formed outer ``drug`` element of the dump; with ``rejected`` (element, reason) of the others.
 
-    With ``rejected`` the rows are (element, reason) of the elements that give no drug: those that are not well
-    formed and those without a primary id.
+    ``plain`` takes Spark's own XML source, which reads a file in one task. A dump is one file.
     """
-    if opening is None:
-        return (
-            spark.read.format("xml").option("rowTag", "drug").schema(schemas.DRUG_XML).load(path)
-        )
-    parsed = _parsed(_elements(spark, path, opening)).withColumn("reason", _rejection())
-    if rejected:
-        return parsed.filter(F.col("reason").isNotNull()).select("element", "reason")
-    kept = [F.col(f"drug.`{f.name}`") for f in schemas.DRUG_XML.fields]
-    return parsed.filter(F.col("reason").isNull() | (F.col("reason") == "no primary id")).select(*kept)
+    if plain:
+        return spark.read.format("xml").option("rowTag", ELEMENT).schema(schemas.DRUG_XML).load(path)
+    parsed = parse_drug_xml(spark, path)
+    return rejected_elements(parsed) if rejected else drugs_of(parsed)
 
 
 def _primary_id(inside: str = "") -> Column:

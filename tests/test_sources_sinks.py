@@ -61,11 +61,11 @@ KL</amino-acid-sequence></polypeptide></target></targets></drug>
 """
 
 
-@pytest.mark.parametrize("opening", [sources.structures.OUTER_DRUG, None])
-def test_drug_xml(spark, tmp_path, opening):
+@pytest.mark.parametrize("plain", [False, True])
+def test_drug_xml(spark, tmp_path, plain):
     file = tmp_path / "dump.xml"
     file.write_text(XML)
-    drugs = sources.read_drug_xml(spark, str(file), opening)
+    drugs = sources.read_drug_xml(spark, str(file), plain)
     assert rows(sources.drug_smiles(drugs)) == [("DB1", "CC(=O)O"), ("DB2", "N")]
     assert rows(sources.protein_sequences(drugs)) == [("P1", "MAKL"), ("P2", None)]
 
@@ -96,13 +96,6 @@ def test_drug_xml_with_attributes_in_any_order_and_a_malformed_record(spark, tmp
     assert [r.reason for r in rejected] == ["not well formed"] and "DB2" in rejected[0].element
 
 
-def test_drug_xml_fails_on_a_record_it_would_swallow(spark, tmp_path):
-    file = tmp_path / "dump.xml"
-    file.write_text("<drugbank>\n" + _drug('type="b"', "DB1", "C") + _drug('type="b"', "DB2", "N").replace("<drug ", "<drug\n") + "</drugbank>")
-    with pytest.raises(Exception, match="more than one outer drug element"):
-        sources.read_drug_xml(spark, str(file)).collect()
-
-
 def test_cleaning_functions(spark):
     df = spark.createDataFrame([("uniprotkb:P1", "a|intact-miscore:0.56|b:1"), ("chebi:P1", "none")], "i string, c string")
     got = rows(df.select(strip_known_prefix(F.col("i")), confidence_score(F.col("c"))))
