@@ -9,7 +9,8 @@ Every label is learned. Symbols are lower-cased letters and one mark for each ru
 the letters of its own sample, and any other letter is a phrase of its own there. The automata are packed
 tables of numbers whose size follows the sample and not the alphabet; they are broadcast in blocks of languages, one
 of which a task holds at a time. A task parses all windows of its batch against the languages of a block in step, one
-symbol at a time. Windows bound the number of steps: a phrase ends at the latest after ``SPAN`` symbols of text.
+symbol at a time. Windows of ``SPAN`` symbols bound the number of steps. A phrase that goes over a window's end is counted once,
+in the window it begins in; the next phrase then begins with the next window.
 """
 
 from __future__ import annotations
@@ -19,19 +20,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from bipath.llm.samples import held_out, position, remainder
 from bipath.llm.streams import batch_of, column
 from bipath.llm.words import pieces
 from bipath.runtime import written
 
-SYMBOLS = 20_000  # of each language's sample; its automaton has at most twice as many states
+SYMBOLS = 20_000  # of each language's sample, about; its automaton has at most twice as many states
 DOCUMENTS = 64  # most documents in a language's sample
-DOCUMENT_CHARACTERS = 4_000  # of one document in the sample
+PASSAGE = 300  # characters of one place of a document in the sample
 LANGUAGES = 24  # of one broadcast block
 SPAN = 1_024
 UNKNOWN = "und"
+PIECE = 1 << 20  # bytes of text that are parsed together
 _MARK, _OTHER = 0, 1
 _NONE, _DEAD = 0, 1
 _TRIES = 64  # places for a row that are looked at together
@@ -173,15 +175,14 @@ def _lookup(letters: str) -> np.ndarray:
 def symbols_of(texts: list[str], letters: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols of all texts, where each text begins, letters in each text); a mark opens and ends each text."""
     padded = [f" {t.lower()} " for t in texts]
-    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
     begin = np.concatenate([[0], np.cumsum([len(t) for t in padded])])
-    codes = _lookup(letters)[points]
+    codes = _lookup(letters)[np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)]
     keep = codes != _MARK
-    letter = np.concatenate([[0], np.cumsum(keep)])
+    counted = np.add.reduceat(keep, begin[:-1], dtype=np.int64) if texts else begin[:0]
     keep[1:] |= codes[:-1] != _MARK
     keep[begin[:-1]] = True
-    first = np.concatenate([[0], np.cumsum(keep)])[begin]
-    return codes[keep], first, letter[begin[1:]] - letter[begin[:-1]]
+    size = np.add.reduceat(keep, begin[:-1], dtype=np.int64) if texts else begin[:0]
+    return codes[keep], np.concatenate([[0], np.cumsum(size)]), counted
 
 
 def phrases(model: Model, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -194,7 +195,8 @@ def phrases(model: Model, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     order = np.argsort(-length, kind="stable")
     owner, start, length = owner[order], start[order], length[order]
     many = len(model.languages)
-    counts = np.ones((many, len(owner)), np.int64)
+    # The first phrase of a later window goes on with the last of the window before.
+    counts = np.repeat((start == first[owner]).astype(np.int64)[None, :], many, axis=0)
     states = np.zeros((many, len(owner)), np.int64)
     alive = len(owner)
     ends = np.searchsorted(-length, -np.arange(int(length[0]) if alive else 0), "left")
@@ -217,15 +219,34 @@ def phrases(model: Model, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _passages(text: str, number: Column) -> Column:
+    """``number`` passages of ``PASSAGE`` characters, one at a pseudorandom place of each of as many equal parts of the
+    text, or the text whole if it is no longer than they are."""
+    strip = F.length(text) / number
+
+    def passage(k):
+        place = F.shiftrightunsigned(F.xxhash64("doc_id", k), 11) / F.lit(float(1 << 53))
+        return F.substr(text, F.floor(k * strip + place * (strip - PASSAGE)).cast("int") + 1, F.lit(PASSAGE))
+
+    parts = F.transform(F.sequence(F.lit(0), number - 1), passage)
+    return F.when(F.length(text) <= number * PASSAGE, F.col(text)).otherwise(F.array_join(parts, " "))
+
+
 def _sample(documents: DataFrame) -> DataFrame:
-    """(lang, text, place): at most ``DOCUMENTS`` rows of each lang that are not held out and hold a letter."""
-    rows = documents.filter((remainder() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select("doc_id", "lang", F.substring("text", 1, DOCUMENT_CHARACTERS).alias("text"))
-    rows = rows.filter(F.col("text").rlike("\\p{L}")).withColumn("place", position("doc_id"))
+    """(lang, text, nth): passages of at most ``DOCUMENTS`` rows of each lang that are not held out and hold a letter.
+
+    The passages come from all over the whole texts; the fewer rows a lang has, the more of each.
+    """
+    rows = documents.filter((remainder() != 1) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    rows = rows.select("doc_id", "lang", "text").withColumn("place", position("doc_id"))
     tally = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
     drawn = rows.join(F.broadcast(tally), "lang").filter(F.col("place") <= F.greatest(F.lit(1.5 * DOCUMENTS) / F.col("n"), "least"))
     order = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
-    return drawn.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= DOCUMENTS).select("lang", "text", "nth")
+    drawn = drawn.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= DOCUMENTS)
+    many = F.count(F.lit(1)).over(Window.partitionBy("lang"))
+    number = F.greatest(F.lit(1), F.floor(F.lit(SYMBOLS) / (many * PASSAGE))).cast("int")
+    drawn = drawn.withColumn("number", number)
+    return drawn.select("lang", _passages("text", F.col("number")).alias("text"), "nth")
 
 
 def learn(documents: DataFrame) -> Iterator[Model]:
@@ -241,7 +262,8 @@ def learn(documents: DataFrame) -> Iterator[Model]:
         for r in sample.filter(F.col("lang").isin(block)).orderBy("lang", "nth").collect():
             texts[r["lang"]].append(r["text"])
         letters = "".join(sorted({c for own in texts.values() for t in own for c in t.lower() if c.isalpha()}))
-        symbols = [symbols_of(own, letters)[0][:SYMBOLS].tolist() for own in texts.values()]
+        # The cut only meets letters that become two when lower-cased: states are numbered by 16 bits.
+        symbols = [symbols_of(own, letters)[0][: 3 * SYMBOLS // 2].tolist() for own in texts.values()]
         bases, owners, tables, roots = zip(*(packed_automaton(own, len(letters) + 2) for own in symbols))
         begin = np.cumsum([0, *(len(t) for t in tables)])
         yield Model(
@@ -251,10 +273,10 @@ def learn(documents: DataFrame) -> Iterator[Model]:
         )
 
 
-def _predict(shared):
+def _predict(shared, name: str):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            texts = [t or "" for t in column(batch, "text").to_pylist()]
+        for batch in pieces(batches, name, PIECE):
+            texts = [t or "" for t in column(batch, name).to_pylist()]
             n = len(texts)
             best, known, length = np.full(n, UNKNOWN, object), np.zeros(n, bool), np.zeros(n)
             least, second = np.full(n, np.inf), np.full(n, np.inf)
@@ -286,7 +308,7 @@ def _predict(shared):
     return predict
 
 
-def identify_language(documents: DataFrame, models: Iterable[Model]) -> DataFrame:
+def identify_language(documents: DataFrame, models: Iterable[Model], text: str = "text") -> DataFrame:
     """``documents`` (with ``text``) plus lang_pred, score and phrase_length.
 
     score is how much lower the entropy of the best language is than that of the second, from 0 (a
@@ -297,7 +319,7 @@ def identify_language(documents: DataFrame, models: Iterable[Model]) -> DataFram
     shared = [documents.sparkSession.sparkContext.broadcast(model) for model in models]
     kept = documents.drop("lang_pred", "score", "phrase_length")
     schema = T.StructType(list(kept.schema.fields)).add("lang_pred", "string").add("score", "double").add("phrase_length", "double")
-    return kept.mapInArrow(_predict(shared), schema)
+    return kept.mapInArrow(_predict(shared, text), schema)
 
 
 def language_of_documents(documents: DataFrame) -> DataFrame:
