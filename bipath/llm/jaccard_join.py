@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from bipath.llm.components import connected_components, spanning_forest
+from bipath.llm.hot import left_join_spread
 from bipath.llm.streams import batch_of, changes, column, longs, routed, run_starts, signed, unsigned, whole_groups
 from bipath.llm.words import mix, ngrams, pieces, words_of
 from bipath.runtime import written
@@ -582,7 +583,7 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT, shingle: in
     linked = linked.select("t", "first", F.coalesce("component", "t").alias("group"))
     least = linked.groupBy("group").agg(F.min("first").alias("component_id"))
     labels = linked.join(least, "group").select("t", "component_id")
-    return described.join(labels, "t", "left").select(
+    return left_join_spread(described, labels, "t", "doc_id").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
