@@ -1,6 +1,6 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
-A bounded sample of labelled documents gives a vocabulary of terms (words, marks, case, repeats), their
+A bounded sample of labelled documents, read whole by Spark tasks, gives a vocabulary of terms (words, marks, case, repeats), their
 weights, and by a truncated singular value decomposition the directions along which documents differ most. The
 sample's vectors and labels are broadcast; their number is bounded by parameters. Every document is mapped into
 the space and compared with all of them in exact blocked cosine products; its nearest neighbours vote with
@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from bipath.llm.samples import bounded_sample, held_out, remainder
 from bipath.llm.streams import batch_of, column
-from bipath.llm.terms import Vocabulary, form_terms
+from bipath.llm.terms import Vocabulary, counted, form_terms, learn_vocabulary
 from bipath.llm.words import pieces
+from bipath.runtime import written
 
 PER_CLASS = 1_500  # labelled documents of each class that are learned from
-DOCUMENT_CHARACTERS = 20_000  # of one of them
 TERMS = 4_000
 DIMENSIONS = 48
 NEIGHBOURS = 15
@@ -63,34 +63,45 @@ class Model:
         return np.where((total > 1e-12) & (length[:, 0] > 0), np.clip(share, 0, 1), self.prior)
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, per_class: int, characters: int):
-    """A bounded sample of (doc_id, text, label columns) of rows that are not held out, and the class counts."""
-    rows = labels.filter((remainder() != 1) & F.col(label).isin(0, 1))
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame | None, dict, dict]:
+    """((key, text), key -> label row, class counts) of labelled documents that are not held out.
+
+    At most ``per_class`` label rows of each class are drawn, by a function of their doc_id. A doc_id with several texts
+    brings the least of them. The texts stay in a written table, whole.
+    """
+    rows = labels.filter((remainder() != 1) & F.col(label).isin(0, 1)).distinct()
     sample, counts = bounded_sample(rows, label, "doc_id", per_class, 2)
     if not sample:
-        return [], counts
-    names = [c for c in labels.columns if c != "doc_id"]
-    schema = labels.select("doc_id", *names).schema
-    frame = documents.sparkSession.createDataFrame([tuple(r[c] for c in ["doc_id", *names]) for r in sample], schema)
-    texts = documents.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, characters).alias("text"))
-    joined = texts.join(F.broadcast(frame), "doc_id").limit(4 * per_class)
-    return sorted(joined.collect(), key=lambda r: (r["doc_id"], r["text"])), counts
+        return None, {}, counts
+    by_key = dict(enumerate(sample))
+    keys = documents.sparkSession.createDataFrame([(k, r["doc_id"]) for k, r in by_key.items()], "key long, doc_id long")
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(keys), "doc_id").groupBy("key").agg(F.min("text").alias("text"))
+    found = written(found, "labelled-sample")
+    by_key = {r["key"]: by_key[r["key"]] for r in found.select("key").orderBy("key").collect()}
+    return (found if by_key else None), by_key, counts
 
 
 def learn(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
     """The model of a bounded sample of labelled documents that are not held out; None without any."""
-    rows, counts = labelled_texts(documents, labels, label, PER_CLASS, DOCUMENT_CHARACTERS)
-    if not rows:
+    sample, rows, counts = labelled_sample(documents, labels, label, PER_CLASS)
+    if sample is None:
         return None
-    texts, y = [r["text"] for r in rows], np.array([r[label] for r in rows], float)
-    vocabulary = Vocabulary(texts, form_terms, 3, TERMS)
-    dense = np.zeros((len(texts), len(vocabulary) + 1), np.float32)
-    for i, text in enumerate(texts):
-        ids, n, words, repeats = vocabulary.counts(text)
+    y = np.array([r[label] for r in rows.values()], float)
+    vocabulary = learn_vocabulary(sample, len(rows), form_terms, 3, TERMS)
+    terms = counted(sample, vocabulary)
+    dense = np.zeros((len(rows), len(vocabulary) + 1), np.float32)
+    for i, key in enumerate(rows):
+        ids, n, words, repeats = terms[key]
         dense[i, ids] = np.log1p(n)
         dense[i, -1] = repeats / max(words, 1)
+    return model_of(vocabulary, dense, y, counts)
+
+
+def model_of(vocabulary: Vocabulary, dense: np.ndarray, y: np.ndarray, counts: dict) -> Model:
+    """The model of the sample's raw rows (terms, the repeat share last), its labels, and the class counts of all labels."""
     weight = np.append(np.log(1 / np.maximum(vocabulary.share, 1e-9)) + 0.1, 10.0)
-    dense *= weight.astype(np.float32)
+    dense = dense * weight.astype(np.float32)
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
     axes = _right_singular(dense, min(DIMENSIONS, *dense.shape))
     vectors = dense @ axes

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from bipath.llm.streams import batch_of, column
+from bipath.llm.words import pieces
 
 STEM = 5
 MEMO = 200_000  # remembered words; the memory is emptied beyond
@@ -29,18 +34,13 @@ def form_terms(word: str) -> tuple[str, ...]:
 
 
 class Vocabulary:
-    """Ids of the terms that most documents of a sample hold."""
+    """Ids of given terms, (term, number of documents) among ``size`` documents."""
 
-    def __init__(self, texts: Iterable[str], split: Callable[[str], tuple[str, ...]], least: int, most: int):
+    def __init__(self, terms: Iterable[tuple[str, int]], size: int, split: Callable[[str], tuple[str, ...]]):
+        terms = list(terms)
         self.split = split
-        documents = Counter()
-        size = 0
-        for text in texts:
-            documents.update({t for w in set(text.split()) for t in split(w)})
-            size += 1
-        frequent = sorted(((t, n) for t, n in documents.items() if n >= least), key=lambda x: (-x[1], x[0]))[:most]
-        self.ids = {t: i for i, (t, _) in enumerate(frequent)}
-        self.share = np.array([n for _, n in frequent], float) / max(size, 1)
+        self.ids = {t: i for i, (t, _) in enumerate(terms)}
+        self.share = np.array([n for _, n in terms], float) / max(size, 1)
         self._memo: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
@@ -70,3 +70,42 @@ class Vocabulary:
         repeats = sum(map(eq, words, words[1:]))
         ids = np.fromiter(tally.keys(), np.int64, len(tally))
         return ids, np.fromiter(tally.values(), np.float64, len(tally)), len(words), repeats
+
+
+def learn_vocabulary(sample: DataFrame, size: int, split: Callable[[str], tuple[str, ...]], least: int, most: int) -> Vocabulary:
+    """The ``most`` terms that most rows of ``sample`` (text) hold, ``least`` rows at least; whole texts are read by the tasks."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            held = Counter()
+            for text in column(batch, "text"):
+                held.update({t for w in set((text.as_py() or "").split()) for t in split(w)})
+            yield batch_of(term=pa.array(list(held), pa.string()), n=pa.array(list(held.values()), pa.int64()))
+
+    terms = sample.select("text").mapInArrow(tally, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    frequent = terms.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "term").limit(most).collect()
+    return Vocabulary([(r["term"], r["n"]) for r in frequent], size, split)
+
+
+def counted(sample: DataFrame, vocabulary: Vocabulary) -> dict:
+    """key -> (term ids, counts, words, repeats) of every row of ``sample`` (key, text), whose rows the caller bounds."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            found = [vocabulary.counts(t.as_py() or "") for t in column(batch, "text")]
+            yield batch_of(
+                key=column(batch, "key"),
+                ids=pa.array([f[0] for f in found], pa.list_(pa.int64())),
+                counts=pa.array([f[1] for f in found], pa.list_(pa.float64())),
+                words=pa.array([f[2] for f in found], pa.int64()),
+                repeats=pa.array([f[3] for f in found], pa.int64()),
+            )
+
+    rows = sample.select("key", "text").mapInArrow(count, "key long, ids array<long>, counts array<double>, words long, repeats long")
+    found = {}
+    for batch in rows.toArrow().to_batches():
+        keys, words, repeats = (column(batch, c).to_pylist() for c in ("key", "words", "repeats"))
+        for i, key in enumerate(keys):
+            ids, counts = (column(batch, c)[i].values.to_numpy() for c in ("ids", "counts"))
+            found[key] = (ids, counts, words[i], repeats[i])
+    return found

@@ -5,8 +5,8 @@ probabilities of the categories before it. While training, those probabilities a
 value comes from a model fitted without that row, so that later models learn from inputs as uncertain as the
 ones they get at prediction time.
 
-The categories are what the labels tell apart: any toxic text, toxic text in an otherwise poor document, toxic
-text in an otherwise good one.
+The categories are what the labels tell apart: toxic text in an otherwise poor document, toxic text in an otherwise good
+one, and last any toxic text, whose model sees the probabilities of both. Its probability is the score.
 """
 
 from __future__ import annotations
@@ -18,15 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bipath.llm.quality import labelled_texts
+from bipath.llm.quality import labelled_sample
 from bipath.llm.samples import held_out
 from bipath.llm.streams import batch_of, column
-from bipath.llm.terms import Vocabulary, content_terms
+from bipath.llm.terms import Vocabulary, content_terms, counted, learn_vocabulary
 from bipath.llm.words import pieces
 
-CATEGORIES = ("toxic", "toxic_poor", "toxic_good")
+CATEGORIES = ("toxic_poor", "toxic_good", "toxic")
 PER_CLASS = 2_000  # labelled documents, toxic or not, that are learned from
-DOCUMENT_CHARACTERS = 20_000  # of one of them
 TERMS = 4_000
 FOLDS = 3
 PENALTY = 1e-3
@@ -84,31 +83,36 @@ class Chain:
         return found
 
 
-def fit_chain(texts: list[str], targets: np.ndarray, categories: tuple[str, ...]) -> Chain:
-    """``targets``: rows x categories of 0 and 1. A category with one value only gets a constant near it."""
-    vocabulary = Vocabulary(texts, content_terms, 3, TERMS)
-    x = np.zeros((len(texts), len(vocabulary)), np.float32)
-    for i, text in enumerate(texts):
-        x[i, vocabulary.counts(text)[0]] = 1
-    fold = np.arange(len(texts)) % FOLDS
-    terms, earlier, coefficients = x, np.zeros((len(texts), 0), np.float32), []
-    for j in range(len(categories)):
+def fit_chain(terms: np.ndarray, targets: np.ndarray) -> list[np.ndarray]:
+    """Coefficients (terms, earlier categories, the intercept) of each category in turn.
+
+    ``terms``: rows x terms of 0 and 1; ``targets``: rows x categories of 0, 1 and, where a row's category is unknown, NaN.
+    Such rows take no part in the fits of that category but get its probability like the others. A category with one value only
+    gets a constant near it.
+    """
+    fold = np.arange(len(terms)) % FOLDS
+    earlier, coefficients = np.zeros((len(terms), 0), np.float32), []
+    for j in range(targets.shape[1]):
         y = targets[:, j]
+        known = ~np.isnan(y)
 
         def fit(rows):
+            rows = rows & known
+            if not rows.any():
+                return np.zeros(terms.shape[1] + j + 1, np.float32)
             scale = np.append(log_odds(terms[rows], y[rows]), np.ones(j + 1, np.float32))
             inputs = np.hstack([terms[rows] * scale[: terms.shape[1]], earlier[rows]])
             return fit_linear(inputs, y[rows], _balanced(y[rows])) * scale
 
-        outside = np.zeros(len(texts), np.float32)
+        outside = np.zeros(len(terms), np.float32)
         for f in range(FOLDS):
             own = fold == f
             if own.any() and (~own).any():
                 c = fit(~own)
                 outside[own] = _logistic(np.hstack([terms[own], earlier[own]]) @ c[:-1] + c[-1])
-        coefficients.append(fit(np.ones(len(texts), bool)))
+        coefficients.append(fit(np.ones(len(terms), bool)))
         earlier = np.hstack([earlier, outside[:, None]])
-    return Chain(vocabulary, categories, coefficients)
+    return coefficients
 
 
 def _balanced(y: np.ndarray) -> np.ndarray:
@@ -117,15 +121,27 @@ def _balanced(y: np.ndarray) -> np.ndarray:
     return np.where(y == 1, 0.5 / max(ones, 1), 0.5 / max(len(y) - ones, 1))
 
 
+def targets_of(toxic: int, quality: int | None) -> list[float]:
+    """The categories of a labelled row; without a quality only the last is known, unless the text isn't toxic."""
+    if not toxic:
+        return [0.0, 0.0, 0.0]
+    if quality is None:
+        return [float("nan"), float("nan"), 1.0]
+    return [float(quality == 0), float(quality == 1), 1.0]
+
+
 def learn(documents: DataFrame, labels: DataFrame) -> Chain | None:
     """The chain of a bounded sample of labelled documents that are not held out; None without any."""
-    rows, _ = labelled_texts(documents, labels, "toxic", PER_CLASS, DOCUMENT_CHARACTERS)
-    if not rows:
+    sample, rows, _ = labelled_sample(documents, labels, "toxic", PER_CLASS)
+    if sample is None:
         return None
-    toxic = np.array([r["toxic"] for r in rows], float)
-    quality = np.array([-1 if r["quality"] is None else r["quality"] for r in rows])
-    targets = np.stack([toxic, toxic * (quality == 0), toxic * (quality == 1)], axis=1)
-    return fit_chain([r["text"] for r in rows], targets, CATEGORIES)
+    vocabulary = learn_vocabulary(sample, len(rows), content_terms, 3, TERMS)
+    found = counted(sample, vocabulary)
+    terms = np.zeros((len(rows), len(vocabulary)), np.float32)
+    for i, key in enumerate(rows):
+        terms[i, found[key][0]] = 1
+    targets = np.array([targets_of(r["toxic"], r["quality"]) for r in rows.values()])
+    return Chain(vocabulary, CATEGORIES, fit_chain(terms, targets))
 
 
 def _score(shared):
@@ -142,9 +158,9 @@ def _score(shared):
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, p_toxic, p_toxic_poor, p_toxic_good): a row for each document row.
+    """(doc_id, held_out, score, predicted, p_toxic_poor, p_toxic_good, p_toxic): a row for each document row.
 
-    score is the probability of the first category, and predicted is 1 from 0.5 on. Null and empty texts have no
+    score is the probability of the last category, and predicted is 1 from 0.5 on. Null and empty texts have no
     words, so their probabilities are those of the intercepts; without any labels all are 0. Labels other
     than 0 and 1 are ignored. Repeated rows get equal scores.
     """
