@@ -4,7 +4,9 @@ The words of a source are laid end to end and cut into blocks of ``BLOCK`` words
 goes round all its blocks, and how many words of one more round it takes; that makes its slots. All slots get a
 place in the output by a pseudorandom permutation and every ``SHARD`` places are a shard, so the source
 counts of a shard are a multinomial draw, given that the totals are the targets. The slots of one round map to
-blocks through a permutation of the source's block numbers, and slots and documents meet by block number.
+blocks through a permutation of the source's block numbers, and slots and documents meet by block number. What comes
+out are the packed shards: every place of a shard with the parts of documents that fill it. How many words the mix takes of
+a document is counted there.
 
 Permutations are swap-or-not shuffles: a few rounds of arithmetic and one hash each, on any range, with no table.
 """
@@ -23,7 +25,7 @@ MOST_TIMES = 3
 BLOCK = 512
 SHARD = 1_024
 ROUNDS = 24
-CHUNK = 1 << 16
+CHUNK = 1 << 14  # slots that one task places
 SEED = 20
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -83,7 +85,8 @@ def slots(targets: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFra
     plan = running_total(plan, F.col("src"), value="slots", name="base")
     everything = plan.agg(F.sum("slots")).first()[0] or 1
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK)))
-    chunks = plan.filter("slots > 0").withColumn("chunk", chunk).repartition("src", "chunk")
+    # A few rows here become all slots, so the number of tasks follows the slots and not the rows.
+    chunks = plan.filter("slots > 0").withColumn("chunk", chunk).repartition(-(-everything // CHUNK), "src", "chunk")
     inside = F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1)
     each = chunks.withColumn("j", F.explode(inside))
     each = each.withColumn("round", F.least(F.floor(F.col("j") / F.col("blocks")), F.col("rounds")))
@@ -125,22 +128,28 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
     )
 
 
+def packed_shards(pieces: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(shard, place, src, block, uid, doc_id, lo, hi): the parts [lo, hi) of a block's words that fill each slot.
+
+    A block comes in one slot of each round and holds ``BLOCK`` words at most, so few rows meet under one block.
+    """
+    parts = pieces.select("src", "block", "uid", "doc_id", "lo", "hi")
+    filled = drawn.join(parts, ["src", "block"]).withColumn("hi", F.least("hi", "take")).filter("hi > lo")
+    return filled.select("shard", "place", "src", "block", "uid", "doc_id", "lo", "hi")
+
+
 def mixed_documents(documents: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_TIMES, block: int = BLOCK) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source): a row for each row of ``documents``.
 
-    taken counts the words of the row in all slots, repeats included. ``documents`` needs doc_id, text and source;
+    taken counts the words of the row in all packed shards, repeats included. ``documents`` needs doc_id, text and source;
     other columns are ignored. A null or empty text has size 0 and is never taken; a source without words has
     target 0. A null source is a source of its own. The result depends on the rows alone, so reruns agree;
     equal rows may swap their counts.
     """
     pieces, drawn = mix(documents, weights, most, block)
-    # A block comes in one slot of each round, so at most ``most`` of them meet here.
-    per_block = drawn.groupBy("src", "block").agg(F.collect_list("take").alias("takes"))
-    part = F.aggregate(
-        F.coalesce("takes", F.array().cast("array<bigint>")), F.lit(0).cast("long"),
-        lambda s, take: s + F.greatest(F.least(F.col("hi"), take) - F.col("lo"), F.lit(0)),
-    )
-    taken = pieces.join(per_block, ["src", "block"], "left").withColumn("part", F.when(F.col("block").isNotNull(), part).otherwise(0))
-    return taken.groupBy("uid", "doc_id", "source", "size", "source_size", "target").agg(F.sum("part").alias("taken")).drop("uid").select(
-        "doc_id", "size", "source_size", "target", "taken", "source"
+    pieces = written(pieces, "pieces")
+    packed = packed_shards(pieces, drawn).groupBy("uid").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    rows = pieces.select("uid", "doc_id", "size", "source_size", "target", "source").dropDuplicates(["uid"])
+    return rows.join(packed, "uid", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source"
     )
