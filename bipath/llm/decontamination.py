@@ -19,12 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bipath.llm.streams import batch_of, column
+from bipath.llm.streams import batch_of, changes, column
 from bipath.llm.words import ngrams, pieces, words_of
 
 LEAST = 5
 COVERAGE = 0.5
 BLOCK_BYTES = 4 << 20  # benchmark text in one broadcast
+AGREEING = 1 << 18  # places of one document and item that agree and are listed; beyond, the words are gone through
 
 
 @dataclass
@@ -88,36 +89,99 @@ def tiles(size: int, item_at: np.ndarray, text_at: np.ndarray, least: int) -> li
     return found
 
 
+def tiles_by_rows(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The tiling of :func:`tiles` from the words themselves, with memory for one row of matches.
+
+    Each round goes through the item's words once and knows for every place of the text how long the match of unmarked words is
+    that ends there. It takes the place of lists of all agreeing places where a text repeats itself.
+    """
+    item_free, text_free, found = np.ones(len(item), bool), np.ones(len(text), bool), []
+    places: dict[int, np.ndarray] = {}
+    while True:
+        best = (0, 0, 0)
+        length = np.zeros(len(text) + 1, np.int32)
+        for i, word in enumerate(item.tolist()):
+            now = np.zeros(len(text) + 1, np.int32)
+            if item_free[i]:
+                if word not in places:
+                    places[word] = np.flatnonzero(text == item[i])
+                at = places[word]
+                at = at[text_free[at]]
+                now[at + 1] = length[at] + 1
+                if len(at):
+                    longest = int(now[at + 1].max())
+                    if longest > best[0]:
+                        end = int(at[np.argmax(now[at + 1])])
+                        best = (longest, i - longest + 1, end - longest + 1)
+            length = now
+        n, i, t = best
+        if n < least:
+            return found
+        found.append((i, t, n))
+        item_free[i : i + n] = False
+        text_free[t : t + n] = False
+
+
+def _candidates(block: Block, n: int, grams, docs, coverage: float):
+    """(document, item, agreeing places) of the pairs whose seeds of ``n`` words cover enough of the item, and the hits.
+
+    A hit is a gram of a document that is a seed. Equal grams of a document count together here, so a text that
+    repeats itself costs no more than its different grams.
+    """
+    seeds, seed_item, seed_pos = block.seeds[n]
+    lo = np.searchsorted(seeds, grams, "left")
+    hit = np.flatnonzero(seeds[np.minimum(lo, len(seeds) - 1)] == grams)
+    order = np.lexsort((hit, lo[hit], docs[hit]))
+    hit = hit[order]
+    hit_lo, hit_doc = lo[hit], docs[hit]
+    first = np.flatnonzero(changes(hit_doc, hit_lo)) if len(hit) else hit
+    many = np.diff(np.append(first, len(hit)))  # how often the document holds the gram
+    size = np.searchsorted(seeds, seeds[hit_lo[first]], "right") - hit_lo[first]
+    gram = np.repeat(np.arange(len(first)), size)
+    seed = hit_lo[first][gram] + np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size)
+    doc, item = hit_doc[first][gram], seed_item[seed]
+    order = np.lexsort((seed, item, doc))
+    doc, item, gram, seed = doc[order], item[order], gram[order], seed[order]
+    pairs = np.flatnonzero(changes(doc, item)) if len(doc) else doc
+    for a, b in zip(pairs, [*pairs[1:], len(doc)]):
+        words = len(block.words[item[a]])
+        reach = np.zeros(words + 1, np.int64)
+        places = seed_pos[seed[a:b]]
+        np.add.at(reach, places, 1)
+        np.add.at(reach, places + n, -1)
+        if (np.cumsum(reach)[:words] > 0).sum() < coverage * words:
+            continue  # even with overlaps the seeds cover too little
+        own = gram[a:b]
+        total = int(many[own].sum())
+
+        def agreeing(own=own, places=places, total=total):
+            count = many[own]
+            at = np.repeat(first[own], count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+            return np.repeat(places, count), hit[at]
+
+        yield int(doc[a]), int(item[a]), total, agreeing
+
+
 def _search(shared, coverage: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in pieces(batches, "text"):
             words = words_of(column(batch, "text"), lower=True)
             rows = {k: [] for k in ("row", "item", "coverage", "tiles", "words")}
-            for n, (seeds, seed_item, seed_pos) in block.seeds.items():
+            for n in block.seeds:
                 grams, pos, docs = ngrams(words, n)
-                lo = np.searchsorted(seeds, grams, "left")
-                hit = np.flatnonzero(seeds[np.minimum(lo, len(seeds) - 1)] == grams)
-                many = np.searchsorted(seeds, grams[hit], "right") - lo[hit]
-                at = np.repeat(hit, many)
-                seed = np.repeat(lo[hit], many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                doc, item, text_at, item_at = docs[at], seed_item[seed], pos[at], seed_pos[seed]
-                order = np.lexsort((item, doc))
-                doc, item, text_at, item_at = doc[order], item[order], text_at[order], item_at[order]
-                edge = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0))) if len(doc) else []
-                for a, b in zip(edge, [*edge[1:], len(doc)]):
-                    size = len(block.words[item[a]])
-                    reach = np.zeros(size + 1, np.int64)
-                    np.add.at(reach, item_at[a:b], 1)
-                    np.add.at(reach, item_at[a:b] + n, -1)
-                    if (np.cumsum(reach)[:size] > 0).sum() < coverage * size:
-                        continue  # even with overlaps the seeds cover too little
-                    found = tiles(size, item_at[a:b], text_at[a:b], n)
+                for doc, item, total, agreeing in _candidates(block, n, grams, docs, coverage):
+                    own = block.words[item]
+                    if total <= AGREEING:
+                        item_at, hits = agreeing()
+                        found = tiles(len(own), item_at, pos[hits], n)
+                    else:
+                        found = tiles_by_rows(own, words.hashes[words.first[doc] : words.first[doc + 1]], n)
                     covered = sum(t[2] for t in found)
-                    if covered >= coverage * size:
-                        rows["row"].append(int(doc[a]))
-                        rows["item"].append(block.ids[item[a]])
-                        rows["coverage"].append(covered / size)
+                    if covered >= coverage * len(own):
+                        rows["row"].append(doc)
+                        rows["item"].append(block.ids[item])
+                        rows["coverage"].append(covered / len(own))
                         rows["tiles"].append(len(found))
                         rows["words"].append(covered)
             yield batch_of(
@@ -138,7 +202,8 @@ def contaminated(
 
     A pair is returned when tiles of ``least`` words or more cover at least ``coverage`` of the item. An item with
     fewer words counts only as a whole. Null or empty items and texts match nothing. Repeated rows on either side
-    give repeated results. Null ids are passed on.
+    give repeated results. Null ids are passed on, other columns are ignored. Texts are read whole; what a task holds grows with
+    a text and with an item, not with their product, also where words repeat.
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
