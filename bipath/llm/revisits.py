@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bipath.llm.asof import latest_before
+from bipath.llm.hot import left_join_spread
+from bipath.runtime import written
 
 # Fields of a not-modified answer that describe its own transfer and not the stored response.
 OWN_FIELDS = (
@@ -27,12 +29,22 @@ def canonical_url(url: Column) -> Column:
 
 
 def _names(headers: Column) -> Column:
-    return F.transform_keys(F.coalesce(headers, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(F.trim(k)))
+    """Field names in lower case; values of one field that comes several times are joined by a comma, each once."""
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("k"), e["value"].alias("v")))
+
+    def field(name):
+        values = F.array_sort(F.array_distinct(F.transform(F.filter(entries, lambda e: e["k"] == name), lambda e: e["v"])))
+        return F.struct(name.alias("k"), F.when(F.size(values) == 1, values[0]).otherwise(F.array_join(values, ", ")).alias("v"))
+
+    fields = F.map_from_entries(F.transform(F.array_distinct(F.transform(entries, lambda e: e["k"])), field))
+    return F.coalesce(fields, F.create_map().cast("map<string,string>"))
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
-    """The stored fields, replaced by those of the answer that may replace them."""
-    permitted = F.map_filter(fresh, lambda k, v: ~k.isin(OWN_FIELDS))
+    """The stored fields, replaced by those of the answer that may replace them: none of its own transfer, nor those its
+    Connection field names."""
+    named = F.transform(F.split(F.lower(F.coalesce(fresh["connection"], F.lit(""))), ","), F.trim)
+    permitted = F.map_filter(fresh, lambda k, v: ~k.isin(OWN_FIELDS) & ~F.array_contains(named, k))
     return F.map_concat(F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(permitted), k)), permitted)
 
 
@@ -43,7 +55,7 @@ def _weak(etag: Column) -> Column:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """(record_id, url_key, outcome, source_id, headers, payload): one row for each revisit record.
 
-    ``records`` has record_id (string, unique), kind (response or revisit), url, captured (long), status, etag,
+    ``records`` has record_id (string), kind (response or revisit), url, captured (long), status, etag,
     last_modified, headers (map) and payload; other columns are ignored. A revisit belongs to the latest full
     response (status 200) of its canonical URL that was captured before it. Its ETag must then equal the
     stored one (weak comparison), or without an ETag its Last-Modified. The outcome is
@@ -53,15 +65,28 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     - ``missing``: there is no earlier response, or the URL is null.
 
     All but the first have null headers and payload; ``missing`` has a null source_id. Records captured at the
-    same time are in the order of record_id. Rows of other kinds, and a null kind, are ignored. Only keys
-    and validators go through the as-of join; payloads meet the resolved revisits by record id.
+    same time are in the order of record_id. Rows of other kinds, and a null kind, are ignored. Header names differ in
+    case only by the way they are written: such fields are one. Revisits that share a record_id are one, the least by captured,
+    URL, validators and headers, and so are responses; where responses are alike in all that any payload of theirs may come. Rows
+    without a record_id are ignored.
+
+    Only keys and validators go through the as-of join; payloads meet the resolved revisits by record id, those of a popular
+    page in many places.
     """
     response = (F.col("kind") == "response") & (F.col("status") == 200)
+    keyed = records.filter(F.col("record_id").isNotNull())
+    fields = F.array_sort(F.map_entries("headers")).alias("fields")
+    order = ["captured", canonical_url(F.col("url")).alias("url_key"), "etag", "last_modified"]
+
+    def single(rows: DataFrame, kind: str, *more: Column) -> DataFrame:
+        least = rows.groupBy("record_id").agg(F.min(F.struct(*order, *more)).alias("r"))
+        return least.select("record_id", F.lit(kind).alias("kind"), "r.*")
+
+    revisits = single(keyed.filter("kind = 'revisit'"), "revisit", fields)
+    responses = single(keyed.filter(response), "response")
     validators = F.struct("record_id", "etag", "last_modified")
-    slim = records.filter((F.col("kind") == "revisit") | response).select(
-        "record_id", "kind", canonical_url(F.col("url")).alias("url_key"), "captured", "etag", "last_modified",
-        F.when(response, validators).alias("full"),
-    )
+    slim = responses.withColumn("full", validators).withColumn("fields", F.lit(None).cast(revisits.schema["fields"].dataType))
+    slim = slim.unionByName(revisits.withColumn("full", F.lit(None).cast(slim.schema["full"].dataType)))
     found = latest_before(slim, "url_key", ["captured", "record_id"], "full", "stored").filter("kind = 'revisit'")
     by_etag = _weak(F.col("etag")) == _weak(F.col("stored.etag"))
     by_date = F.col("last_modified") == F.col("stored.last_modified")
@@ -72,18 +97,16 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         .when(same.isNull(), "unverified")
         .otherwise("changed")
     )
-    judged = found.select("record_id", "url_key", outcome.alias("outcome"), F.col("stored.record_id").alias("source_id"))
-    fresh = records.filter("kind = 'revisit'").select("record_id", _names(F.col("headers")).alias("fresh"))
-    stored = records.filter(response).select(
-        F.col("record_id").alias("from_id"), _names(F.col("headers")).alias("stored"), "payload"
+    judged = found.select(
+        "record_id", "url_key", outcome.alias("outcome"), F.col("stored.record_id").alias("source_id"),
+        _names(F.map_from_entries("fields")).alias("fresh"),
     )
-    wanted = judged.withColumn("from_id", F.when(F.col("outcome") == "resolved", F.col("source_id")))
-    return (
-        wanted.join(fresh, "record_id", "left")
-        .join(stored, "from_id", "left")
-        .select(
-            "record_id", "url_key", "outcome", "source_id",
-            F.when(F.col("from_id").isNotNull(), merged_headers(F.col("stored"), F.col("fresh"))).alias("headers"),
-            "payload",
-        )
+    judged = written(judged.withColumn("from_id", F.when(F.col("outcome") == "resolved", F.col("source_id"))), "judged")
+    kept = keyed.filter(response).select(F.col("record_id").alias("from_id"), "headers", "payload")
+    kept = kept.join(judged.select("from_id").distinct(), "from_id", "left_semi").dropDuplicates(["from_id"])
+    stored = kept.select("from_id", _names(F.col("headers")).alias("stored"), "payload")
+    return left_join_spread(judged, stored, "from_id", "record_id").select(
+        "record_id", "url_key", "outcome", "source_id",
+        F.when(F.col("from_id").isNotNull(), merged_headers(F.col("stored"), F.col("fresh"))).alias("headers"),
+        "payload",
     )
