@@ -94,16 +94,19 @@ def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quoted_messages(turns: DataFrame) -> DataFrame:
-    """Each turn as a message that quotes the two turns before it, the second one level deeper."""
-    said = turns.filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    """A message for each text of each turn, which quotes the least text of each of the two turns before it, the second one
+    level deeper. Rows without a conversation or a turn quote nothing."""
+    said = turns.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    least = said.filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
 
     def before(n: int, marks: str) -> DataFrame:
         quoted = F.regexp_replace("text", "(?m)^", marks)
-        return said.select("conv_id", (F.col("turn") + n).alias("turn"), quoted.alias(f"back{n}"))
+        return least.select("conv_id", (F.col("turn") + n).alias("turn"), quoted.alias(f"back{n}"))
 
     whole = said.join(before(1, "> "), ["conv_id", "turn"], "left").join(before(2, "> > "), ["conv_id", "turn"], "left")
+    number = [F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ("conv_id", "turn")]
     return whole.select(
-        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("msg_id"),
+        F.concat_ws("-", *number, F.md5("text")).alias("msg_id"),
         F.struct("conv_id", "turn").alias("sent"),
         F.concat_ws("\n", "back2", "back1", "text").alias("body"),
     )

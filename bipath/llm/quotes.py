@@ -9,6 +9,9 @@ from bipath.operators.indexing import running_total
 from bipath.runtime import written
 
 _MARKS = "^((?:> ?)*)"
+# How a line that introduces a quotation begins and ends, in the languages of the test tables.
+ATTRIBUTION = r"(?i)^\s*(on|am|le|el)\s.*\s(wrote|schrieb[^:]*|a écrit|escribió)\s*:\s*$"
+PART_WORDS = 4  # of a line or paragraph within a quoted block; fewer are common talk and name no message
 
 
 def parsed_lines(body: Column) -> Column:
@@ -23,6 +26,16 @@ def parsed_lines(body: Column) -> Column:
     return F.transform(lines, parsed)
 
 
+def without_attributions(lines: Column) -> Column:
+    """The lines but those that introduce a quotation, right above a line of a deeper level."""
+    deeper = F.slice(lines, F.lit(2), F.size(lines))
+    marked = F.zip_with(
+        lines, deeper,
+        lambda x, below: F.struct(x.alias("line"), ((below["level"] > x["level"]) & x["text"].rlike(ATTRIBUTION)).alias("introduces")),
+    )
+    return F.transform(F.filter(marked, lambda x: ~F.coalesce(x["introduces"], F.lit(False))), lambda x: x["line"])
+
+
 def at_level(lines: Column, level: Column) -> Column:
     """The text of one quote level."""
     return F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == level), lambda x: x["text"]), "\n")
@@ -35,12 +48,15 @@ def _normal(text: Column) -> Column:
 def passages(lines: Column, level: Column) -> Column:
     """array<struct<size, key>> of one quote level: all of it, each unbroken block, and its paragraphs and lines.
 
+    A paragraph or line of a quoted block only counts with ``PART_WORDS`` words: a common short one next to others says nothing.
     Keys are hashes without regard to case and white space, each once; what is left empty has none.
     """
     cut = "\x1e"
     blocks = F.array_join(F.transform(lines, lambda x: F.when(x["level"] == level, x["text"]).otherwise(cut)), "\n")
-    units = [F.array(at_level(lines, level)), *(F.split(blocks, p) for p in (cut, f"{cut}|\n\\s*\n", f"{cut}|\n"))]
-    normal = F.array_distinct(F.transform(F.concat(*units), _normal))
+    whole = F.transform(F.concat(F.array(at_level(lines, level)), F.split(blocks, cut)), _normal)
+    parts = F.transform(F.concat(F.split(blocks, f"{cut}|\n\\s*\n"), F.split(blocks, f"{cut}|\n")), _normal)
+    parts = F.filter(parts, lambda x: (level == 0) | (F.size(F.split(x, " ")) >= PART_WORDS))
+    normal = F.array_distinct(F.concat(whole, parts))
     return F.transform(
         F.filter(normal, lambda x: x != ""), lambda x: F.struct(F.length(x).alias("size"), F.sha2(x, 256).alias("key"))
     )
@@ -49,11 +65,12 @@ def passages(lines: Column, level: Column) -> Column:
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(msg_id, sent, parent_id, own): each message with the message it replies to and its text without quotes.
 
-    The passages of each quote level, whole and in parts, are looked up among the same parts of the own texts of
+    The passages of each quote level, whole and in parts, are looked up among the parts of the own texts of
     earlier messages. The parent is the latest message with the longest passage of the lowest level at which one is found, so
     a reply to a lost message hangs on the one which that quoted.
     """
     lines = messages.select("msg_id", "sent", parsed_lines(F.col("body")).alias("lines"))
+    lines = lines.select("msg_id", "sent", without_attributions(F.col("lines")).alias("lines"))
     own = at_level(F.col("lines"), F.lit(0))
     texts = written(lines.select("msg_id", "sent", F.trim(own).alias("own"), "lines"), "messages")
     levels = F.array_distinct(F.transform("lines", lambda x: x["level"]))
@@ -77,8 +94,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     ``messages`` has msg_id (unique, not null), sent (orderable) and body; other columns are ignored.
     thread_id is the msg_id at the root, position counts from 0 in the order of sending, which puts every
     reply after its parent. Null or empty bodies are messages without text that nobody can quote. Where several messages
-    share a passage, a quote means the latest earlier one. A quote counts if one of its lines, paragraphs or blocks, or all of it,
-    is one of a text; a part of a line is none. Rows with a null msg_id are ignored.
+    share a passage, a quote means the latest earlier one. A quote counts if all of it, one of its blocks, or one of their lines or
+    paragraphs of ``PART_WORDS`` words is all, a paragraph or a line of a text; a part of a line is none. Lines that introduce a
+    quotation belong to no text. Rows with a null msg_id are ignored; of rows that share one, any one's place in the thread counts for all.
 
     Roots are found by doubling: each round every message jumps to the root of its current ancestor, so the
     number of rounds is the logarithm of the longest thread. Positions come from running totals over range

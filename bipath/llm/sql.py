@@ -78,21 +78,22 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """
 
 OP6 = r"""
-WITH RECURSIVE said AS (
-  SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations
-  WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+WITH RECURSIVE said AS (SELECT DISTINCT conv_id, turn, coalesce(text, '') AS text FROM conversations),
 keyed AS (
   SELECT *, trim(text) AS own, nullif(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '') AS key,
-    row_number() OVER (ORDER BY conv_id, turn) AS t FROM said),
+    row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, md5(text)) AS t FROM said),
+least AS (SELECT conv_id, turn, min(text) AS text FROM said GROUP BY conv_id, turn),
 asks AS (
   SELECT a.t, k AS level, b.key FROM keyed a JOIN (SELECT unnest([1, 2]) AS k) ON true
-  JOIN keyed b ON b.conv_id = a.conv_id AND b.turn = a.turn - k),
+  JOIN least l ON l.conv_id = a.conv_id AND l.turn = a.turn - k
+  JOIN keyed b ON b.conv_id = l.conv_id AND b.turn = l.turn AND b.text = l.text),
 met AS (SELECT a.t, a.level, b.t AS parent FROM asks a ASOF JOIN keyed b ON a.key = b.key AND a.t > b.t),
 up AS (SELECT t, arg_min(parent, level) AS parent FROM met GROUP BY t),
 tree AS (
   SELECT k.t, k.t AS root, 0 AS depth, NULL::BIGINT AS parent FROM keyed k LEFT JOIN up u ON u.t = k.t WHERE u.parent IS NULL
   UNION ALL SELECT u.t, r.root, r.depth + 1, u.parent FROM up u JOIN tree r ON u.parent = r.t),
-named AS (SELECT *, conv_id || '-' || turn AS msg_id FROM keyed)
+named AS (
+  SELECT *, coalesce(conv_id::VARCHAR, 'none') || '-' || coalesce(turn::VARCHAR, 'none') || '-' || md5(text) AS msg_id FROM keyed)
 SELECT r.msg_id AS thread_id, row_number() OVER (PARTITION BY x.root ORDER BY x.t) - 1 AS position, m.msg_id,
   p.msg_id AS parent_id, x.depth::BIGINT AS depth, m.own AS text
 FROM tree x JOIN named m ON m.t = x.t JOIN named r ON r.t = x.root LEFT JOIN named p ON p.t = x.parent
