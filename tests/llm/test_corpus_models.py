@@ -9,8 +9,9 @@ from conftest import rows as sorted_rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bipath.llm import language_id, mixing, quality, quotes, revisits, topk_search, toxicity
+from bipath.llm import language_id, mixing, quality, quotes, revisits, terms, topk_search, toxicity
 from bipath.llm.asof import latest_before
+from bipath.llm.hot import left_join_spread
 from bipath.llm.queries import QUERIES
 from bipath.llm.sql import ORACLE
 from check_queries import as_rows, duck
@@ -110,6 +111,140 @@ def test_phrases_equal_greedy_longest_matches(monkeypatch):
             assert got[k, d] == count
 
 
+def test_phrases_over_window_ends_count_once(monkeypatch):
+    rng = random.Random(5)
+    sample = "".join(rng.choice("abc") for _ in range(400))
+    table, root = language_id.suffix_automaton(language_id.symbols_of([sample], "abc")[0].tolist(), 5)
+    model = language_id.Model(["x"], "abc", table, root[None], np.array([0]), np.ones(1))
+    texts = ["".join(rng.choice("abcz ") for _ in range(n)) for n in (700, 64, 65, 0, 3000)]
+    symbols, first, _ = language_id.symbols_of(texts, "abc")
+    whole = language_id.phrases(model, symbols, first)[0]
+    monkeypatch.setattr(language_id, "SPAN", 64)
+    cut = language_id.phrases(model, symbols, first)[0]
+    assert np.abs(cut - whole).max() <= np.ceil(np.diff(first).max() / 64) and (np.abs(cut - whole) <= 0.05 * whole + 1).all()
+
+
+def test_language_is_learned_from_all_of_a_text(spark):
+    """The marking words of long documents come after thousands of characters that all languages share."""
+    rng = random.Random(9)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(30)] for lang, letters in (("aa", "abcdef"), ("bb", "mnopqr"), ("both", "uvwxyz"))}
+    rows = []
+    for i in range(90):
+        lang = ("aa", "bb")[i % 2]
+        text = [rng.choice(words["both"]) for _ in range(1500)] + [rng.choice(words[lang]) for _ in range(1500)]
+        rows.append((i, " ".join(text), lang, "s"))
+    rows += [(1000 + i, " ".join(rng.choice(words[("aa", "bb")[i % 2]]) for _ in range(60)), None, "s") for i in range(20)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.language_of_documents(frame(spark, rows)).collect()}
+    assert all(got[1000 + i] == ("aa", "bb")[i % 2] for i in range(20))
+    sample = language_id._sample(frame(spark, rows)).collect()
+    assert max(len(r["text"]) for r in sample) <= language_id.SYMBOLS and len({r["lang"] for r in sample}) == 2
+
+
+def small_labelled(spark):
+    docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
+    return docs, labels, {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def test_quality_equals_a_plain_neighbour_vote(spark):
+    docs, labels, texts = small_labelled(spark)
+    model = quality.learn(docs, labels)
+    sample, rows, counts = quality.labelled_sample(docs, labels, "quality", quality.PER_CLASS)
+    assert sorted(counts) == [0, 1] and len(rows) == model.vectors.shape[0]
+
+    def plain_vector(text):
+        raw = np.zeros(len(model.vocabulary) + 1)
+        split = text.split()
+        for word in split:
+            for term in terms.form_terms(word):
+                if term in model.vocabulary.ids:
+                    raw[model.vocabulary.ids[term]] += 1
+        raw = np.log1p(raw)
+        raw[-1] = sum(a == b for a, b in zip(split, split[1:])) / max(len(split), 1)
+        raw *= model.weight
+        return raw / np.linalg.norm(raw) @ model.axes
+
+    # The learned vectors are those of the whole texts of the sample.
+    for row, vector in list(zip(rows.values(), model.vectors))[:20]:
+        plain = plain_vector(texts[row["doc_id"]])
+        assert plain / np.linalg.norm(plain) == pytest.approx(vector, abs=1e-4)
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, labels).collect()}
+    for doc_id in sorted(texts)[:60]:
+        vector = plain_vector(texts[doc_id])
+        similar = [float(vector @ v) / float(np.linalg.norm(vector)) for v in model.vectors]
+        near = sorted(range(len(similar)), key=lambda i: -similar[i])[: quality.NEIGHBOURS]
+        votes = [max(similar[i], 0) ** quality.SHARPNESS * model.class_weight[i] for i in near]
+        want = sum(v * model.labels[i] for v, i in zip(votes, near)) / sum(votes)
+        assert got[doc_id] == pytest.approx(want, abs=2e-3)
+
+
+def test_quality_learns_from_the_end_of_long_texts(spark):
+    """The words that tell good from poor come after 30,000 characters."""
+    rng = random.Random(3)
+    common = [f"w{i}" for i in range(200)]
+    own = {0: ["bad", "poor", "spam"], 1: ["fine", "sound", "clear"]}
+    rows = [(i, " ".join([rng.choice(common) for _ in range(8000)] + [rng.choice(own[i % 2]) for _ in range(400)]), "en", "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    for scores, label in ((quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")):
+        found = scores(frame(spark, rows), labels).join(labels, "doc_id").filter("held_out").collect()
+        assert found and all(r["predicted"] == r[label] for r in found)
+
+
+def test_repeated_ids_bring_one_text_to_the_fit(spark):
+    rows = [(i % 5, f"text {i} " + "word " * (i % 5), "en", "s") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2, "a") for i in range(5)] * 2, "doc_id long, quality int, note string")
+    for parts in (1, 7):
+        sample, by_key, _ = quality.labelled_sample(frame(spark, rows).repartition(parts), labels.select("doc_id", "quality"), "quality", 100)
+        got = {by_key[r["key"]]["doc_id"]: r["text"] for r in sample.collect()}
+        assert got == {i: min(text for j, text, *_ in rows if j == i) for i in got} and len(got) == len(by_key)
+
+
+def plain_chain(x, targets):
+    """The chain with its folds written out: each link's input is what models without the row's fold say of the links before."""
+    earlier, models = np.zeros((len(x), 0), np.float32), []
+    for j in range(targets.shape[1]):
+        y, known = targets[:, j], ~np.isnan(targets[:, j])
+
+        def fitted(keep):
+            keep = [i for i in keep if known[i]]
+            scale = np.concatenate([toxicity.log_odds(x[keep], y[keep]), np.ones(j + 1)]).astype(np.float32)
+            rows = np.array([np.concatenate([x[i] * scale[: x.shape[1]], earlier[i]]) for i in keep], np.float32)
+            return toxicity.fit_linear(rows, y[keep], toxicity._balanced(y[keep])) * scale
+
+        column = np.zeros(len(x), np.float32)
+        for fold in range(toxicity.FOLDS):
+            model = fitted([i for i in range(len(x)) if i % toxicity.FOLDS != fold])
+            for i in range(fold, len(x), toxicity.FOLDS):
+                column[i] = 1 / (1 + np.exp(-(np.concatenate([x[i], earlier[i]]) @ model[:-1] + model[-1])))
+        models.append(fitted(range(len(x))))
+        earlier = np.hstack([earlier, column[:, None]])
+    return models
+
+
+def test_toxicity_equals_a_plain_chain(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.random((90, 12)) < 0.3).astype(np.float32)
+    toxic = (x[:, 0] + x[:, 1] + rng.random(90) > 1).astype(float)
+    targets = np.array([toxicity.targets_of(int(t), [0, 1, None][i % 3]) for i, t in enumerate(toxic)])
+    for got, want in zip(toxicity.fit_chain(x, targets), plain_chain(x, targets)):
+        assert got == pytest.approx(want, abs=1e-4)
+    assert toxicity.CATEGORIES[-1] == "toxic" and np.isnan(targets).any()
+
+
+def test_earlier_categories_change_the_toxicity_score(spark):
+    docs, labels, texts = small_labelled(spark)
+    marks = labels.selectExpr("doc_id", "cast(toxic as int) toxic", "cast(quality as int) quality")
+    chain = toxicity.learn(docs, marks)
+    size = len(chain.vocabulary)
+    weights = chain.coefficients[-1][size:-1]
+    assert len(weights) == 2 and np.abs(weights).max() > 0.1
+    blind = toxicity.Chain(chain.vocabulary, chain.categories, [*chain.coefficients[:-1], chain.coefficients[-1].copy()])
+    blind.coefficients[-1][size:-1] = 0
+    moved = [abs(chain.probabilities(t)[-1] - blind.probabilities(t)[-1]) for t in list(texts.values())[:200]]
+    assert max(moved) > 0.01
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, labels).limit(50).collect()}
+    assert got == pytest.approx({i: chain.probabilities(texts[i])[-1] for i in got}, abs=1e-6)
+
+
 def test_quality_and_toxicity_on_held_out_documents(spark):
     docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
     assert all(s > 0.9 for _, s in accuracy(quality.quality_scores(docs, labels), labels, "quality", "predicted"))
@@ -170,6 +305,78 @@ def test_shards_hold_every_slot_once(odd_documents):
     assert places == list(range(len(places)))
 
 
+def test_taken_words_are_those_of_the_packed_shards(spark):
+    """The shards, filled word by word from the blocks, hold every document as often as the mix says."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"d{i}.{j}" for j in range(rng.randrange(0, 60))), None, rng.choice(["a", "a", "a", "b", "c", None])) for i in range(80)]
+    block = 16
+    df = frame(spark, rows)
+    pieces, drawn = mixing.mix(df, block=block)
+    pieces = pieces.collect()
+    blocks, taken, shards = {}, {}, {}
+    for p in pieces:
+        if p["block"] is not None:
+            for k in range(p["lo"], p["hi"]):
+                assert blocks.setdefault((p["src"], p["block"], k), p["doc_id"]) == p["doc_id"]
+    slots = drawn.collect()
+    for slot in slots:
+        for k in range(slot["take"]):
+            doc = blocks[slot["src"], slot["block"], k]
+            taken[doc] = taken.get(doc, 0) + 1
+            shards[slot["shard"], doc] = shards.get((slot["shard"], doc), 0) + 1
+    got = {r["doc_id"]: r["taken"] for r in mixing.mixed_documents(df, block=block).collect()}
+    assert got == {i: taken.get(i, 0) for i, *_ in rows}
+    packed = mixing.packed_shards(*mixing.mix(df, block=block)).collect()
+    found = {}
+    for r in packed:
+        found[r["shard"], r["doc_id"]] = found.get((r["shard"], r["doc_id"]), 0) + r["hi"] - r["lo"]
+    assert found == shards
+
+
+def test_sources_are_drawn_evenly_over_shards(spark):
+    """In each shard the sources' slots come near their share of all slots."""
+    rows = [(i, "word " * 64, None, "ab"[i % 4 == 0]) for i in range(6000)]
+    _, drawn = mixing.mix(frame(spark, rows), block=16)
+    drawn = drawn.groupBy("shard", "src").count().collect()
+    size, share = {}, {}
+    for r in drawn:
+        size[r["shard"]] = size.get(r["shard"], 0) + r["count"]
+        share[r["src"]] = share.get(r["src"], 0) + r["count"]
+    total = sum(size.values())
+    assert len(size) > 10
+    for r in drawn:
+        if size[r["shard"]] == mixing.SHARD:
+            expected = mixing.SHARD * share[r["src"]] / total
+            assert abs(r["count"] - expected) < 6 * np.sqrt(expected)
+
+
+def test_slots_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    rows = [(i, "word " * 64, None, "s") for i in range(600)]
+    _, drawn = mixing.mix(frame(spark, rows), block=16)
+    by_task = drawn.groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) > 10 and max(r["count"] for r in by_task) < 600
+
+
+def test_topk_with_repeated_ids_and_several_lengths(spark):
+    rng = random.Random(16)
+    rows = [(rng.randrange(0, 260), [rng.choice([-0.5, 0.1, 0.25, 0.9]) for _ in range(rng.choice([2, 2, 5, 0]))], "x") for _ in range(300)]
+    rows += [(50, [0.5, 0.0], "x"), (50, [0.9, 0.0], "x"), (1, [0.5, 0.0], "x"), (1, [0.9, 0.0], "x"), (1, [0.9, 0.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    good = [(i, np.floor(np.array(v, np.float32).astype(float) * 256).astype(int).tolist()) for i, v, _ in rows]
+    scores = {}
+    for i, q in good:
+        if i % 50 == 0:
+            scores.setdefault(i, []).extend((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i)
+    want = [(i, n + 1, j, -s) for i, found in scores.items() for n, (s, j) in enumerate(sorted(found)[:5])]
+    for size in (16_384, 20):
+        topk_search.SHARD_ROWS, kept = size, topk_search.SHARD_ROWS
+        try:
+            assert sorted_rows(topk_search.top_k(df, 5, 50)) == sorted(want, key=repr)
+        finally:
+            topk_search.SHARD_ROWS = kept
+
+
 def test_topk_equals_brute_force_with_ties_and_bad_vectors(spark):
     rng = random.Random(6)
     rows = [(i, [rng.choice([-0.5, 0.1, 0.25]) for _ in range(6)], "x") for i in range(300)]
@@ -209,6 +416,33 @@ def test_as_of_join_with_a_hot_key(spark):
     assert sorted_rows(latest_before(df, "key", ["at"], "value", "seen")) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("spread", [1, 7, 10_000])
+def test_spread_join_with_hot_and_null_keys(spark, spread):
+    rows = [("hot" if i % 3 else None if i % 2 else f"k{i % 7}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i int")
+    one = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), ("other", 4)], "k string, v int")
+    values = {"hot": 1, "k0": 2, "k3": 3}
+    assert sorted_rows(left_join_spread(df, one, "k", "i", spread)) == sorted([(k, i, values.get(k)) for k, i in rows], key=repr)
+
+
+def test_revisits_with_odd_headers_and_repeated_records(spark):
+    schema = "record_id string, kind string, url string, captured long, status int, etag string, last_modified string, headers map<string,string>, payload string, fields string"
+    stored = ("r", "response", "http://a.org/", 1, 200, '"e"', None, {"ETag": '"e"', "etag": '"e"', "X": "1", "x": "2", "Vary": "a"}, "B", "z")
+    fresh = ("v", "revisit", "http://a.org", 2, 304, '"e"', None, {"Connection": "X-Own, close", "X-OWN": "1", "VARY": "b"}, None, "z")
+    rows = [stored, stored, fresh, fresh, ("v", "revisit", "http://a.org", 3, 304, '"no"', None, None, None, "z"), (None, "revisit", "http://a.org", 3, 304, None, None, None, None, "z")]
+    got = revisits.resolve_revisits(spark.createDataFrame(rows, schema)).collect()
+    assert [(r["record_id"], r["outcome"], r["source_id"], r["payload"]) for r in got] == [("v", "resolved", "r", "B")]
+    assert got[0]["headers"] == {"etag": '"e"', "x": "1, 2", "vary": "b"}
+
+
+def test_revisits_of_one_popular_page(spark):
+    rows = [("r", "response", "http://a.org/", 0, 200, '"e"', None, {"x": "1"}, "B")]
+    rows += [(f"v{i}", "revisit", "http://a.org/" if i % 3 else "http://lost.org", i + 1, 304, '"e"', None, None, None) for i in range(9000)]
+    schema = "record_id string, kind string, url string, captured long, status int, etag string, last_modified string, headers map<string,string>, payload string"
+    got = revisits.resolve_revisits(spark.createDataFrame(rows, schema))
+    assert got.groupBy("outcome", "payload").count().orderBy("outcome").collect() == [("missing", None, 3000), ("resolved", "B", 6000)]
+
+
 def test_revisits_with_validators_and_nulls(spark):
     def record(i, kind, url, at, etag=None, date=None, status=200, headers=None, body=None):
         return (i, kind, url, at, status, etag, date, headers, body, "x")
@@ -271,6 +505,36 @@ def test_trimmed_and_interleaved_quotes_find_their_message(spark):
     }
 
 
+def test_common_lines_and_attributions_link_nothing(spark):
+    rows = [
+        ("a", 1, "The first message says a lot of things"),
+        ("b", 2, "Something quite different\nthanks"),
+        ("c", 3, "On Monday a wrote:\n> The first message says\n> thanks\nMy answer"),
+        ("d", 4, "thanks"),
+        ("e", 5, "On Tuesday d wrote:\n> thanks\nYou are welcome"),
+        ("f", 6, "Am Montag schrieb e:\n> On Tuesday d wrote:\n> > thanks\n> You are welcome\nOn we go with this:\nno quote"),
+        ("f", 6, "Am Montag schrieb e:\n> On Tuesday d wrote:\n> > thanks\n> You are welcome\nOn we go with this:\nno quote"),
+    ]
+    df = spark.createDataFrame(rows[:-1], "msg_id string, sent int, body string")
+    got = {r["msg_id"]: (r["thread_id"], r["parent_id"], r["text"]) for r in quotes.conversations(df).collect()}
+    assert got == {
+        "a": ("a", None, rows[0][2]), "b": ("b", None, rows[1][2]), "c": ("c", None, "My answer"), "d": ("d", None, "thanks"),
+        "e": ("d", "d", "You are welcome"), "f": ("d", "e", "On we go with this:\nno quote"),
+    }
+
+
+def test_pipeline_with_columns_named_like_its_own(spark, odd_documents, sf_dir):
+    names = ["key", "own_id", "found_key", "left_text", "kept", "text_key", "_id", "_key", "_text_key", "lang_pred", "score_", "phrase_length", "n_shingles", "in0", "row"]
+    rows, df = odd_documents
+    docs = df.withColumns({name: F.col("doc_id") * 10 + i for i, name in enumerate(names)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, found = stage(spark, df, sf_dir), stage(spark, docs, sf_dir)
+        assert found.columns == docs.columns, name
+        assert sorted_rows(found.select(df.columns)) == sorted_rows(plain), name
+        for r in found.collect():
+            assert r["doc_id"] is None or [r[n] for n in names] == [r["doc_id"] * 10 + i for i in range(len(names))]
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd_documents, no_documents, sf_dir):
     for docs in (odd_documents[1], no_documents):
         for (name, stage), last in zip(corpus_pipeline.STAGES, itertools.chain([False] * 4, [True])):

@@ -221,3 +221,20 @@ def test_greedy_tiles_match_a_plain_tiling(monkeypatch):
         at = np.array(hits, np.int64).reshape(-1, 2)
         got = decontamination.tiles(len(item), at[:, 0], at[:, 1], least) if len(at) else []
         assert got == want
+        codes = [np.array([ord(c) for c in x], np.uint64) for x in (item, text)]
+        assert decontamination.tiles_by_rows(*codes, least) == want
+
+
+def test_long_repetitive_texts_against_repetitive_items(spark, monkeypatch):
+    """Texts of few words agree with such items nearly everywhere; what is held grows with the text alone."""
+    rng = random.Random(6)
+    items = [(1, "word " * 200), (2, "a b " * 90), (3, " ".join(rng.choice("ab") for _ in range(40)))]
+    docs = [(1, "word " * 100_000), (2, "a b " * 3000), (3, "word " * 80), (4, " ".join(rng.choice("ab") for _ in range(400))), (4, "word " * 120), (None, "a b " * 50)]
+    found = {}
+    for agreeing in (1 << 18, 50):
+        monkeypatch.setattr(decontamination, "AGREEING", agreeing)
+        df = spark.createDataFrame([(i, t, "x") for i, t in docs[(agreeing == 50):]], "doc_id long, text string, item_id string")
+        got = decontamination.contaminated(df, spark.createDataFrame(items, "item_id long, text string"))
+        found[agreeing] = sorted(map(tuple, got.collect()), key=repr)
+    assert (1, 1, 1.0, 1, 200) in found[1 << 18]
+    assert [r for r in found[1 << 18] if r[0] != 1] == found[50] and (4, 1, 0.6, 1, 120) in found[50]
