@@ -21,12 +21,25 @@ NEAR_PERCENT, NEAR_SHINGLE = 80, 5
 PASSAGE_WORDS = 50
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``docs`` has."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts that match no learned language beyond single letters."""
     ship(spark)
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    found = identify_language(rows, learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("phrase_length") >= LEAST_PHRASE)).select("row.*")
+    models = learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
+    # Every column crosses to Python and back once, under a name that the result's own can't clash with.
+    inside = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+    found = identify_language(docs.toDF(*inside.values()), models, inside["text"])
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("phrase_length") >= LEAST_PHRASE))
+    return kept.select(*inside.values()).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +49,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing; of such rows each id stays once, and all without an id.
     """
     ship(spark)
-    keyed = written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed-documents")
-    found = jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), NEAR_PERCENT, NEAR_SHINGLE)
+    key, own = unused(docs, "key", "own_id")
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed-documents")
+    found = jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), NEAR_PERCENT, NEAR_SHINGLE)
     blank = F.col("n_shingles") == 0
-    named = found.withColumnRenamed("doc_id", "_key").join(keyed.select("_key", F.col("doc_id").alias("_id")), "_key")
+    ids = keyed.select(key, F.col("doc_id").alias(own))
+    named = found.select(F.col("doc_id").alias(key), "n_shingles", "component_id").join(ids, key)
     kept = named.groupBy(
         F.when(~blank, F.col("component_id")).alias("component"),
-        F.when(blank, F.col("_id")).alias("id"),
-        F.when(blank & F.col("_id").isNull(), F.col("_key")).alias("row"),
-    ).agg(F.min_by("_key", F.struct(F.col("_id").isNull(), "_id", "_key")).alias("_key"))
-    return keyed.join(kept.select("_key"), "_key", "left_semi").select(docs.columns)
+        F.when(blank, F.col(own)).alias("id"),
+        F.when(blank & F.col(own).isNull(), F.col(key)).alias("row"),
+    ).agg(F.min_by(key, F.struct(F.col(own).isNull(), own, key)).alias(key))
+    return keyed.join(kept.select(key), key, "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,24 +70,27 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     counted anew. A document that loses all its words goes.
     """
     ship(spark)
+    key, own, found_key, left = unused(docs, "key", "own_id", "found_key", "left_text")
     found = substring_dedup(docs, window=PASSAGE_WORDS, gram=PASSAGE_WORDS // 3)
-    cut = found.filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "text_key", "kept").dropDuplicates(["_id", "text_key"])
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = (F.col("_text_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))
-    text = F.coalesce("kept", "text")
-    changed = {"text": text}
+    cut = found.filter("n_removed > 0").select(
+        F.col("doc_id").alias(own), F.col("text_key").alias(found_key), F.col("kept").alias(left)
+    ).dropDuplicates([own, found_key])
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = (F.col(key) == F.col(found_key)) & F.col(own).eqNullSafe(F.col("doc_id"))
+    changed = {"text": F.coalesce(left, "text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("n_chars"))
-    joined = keyed.join(cut, same, "left").filter(F.col("kept").isNull() | (F.col("kept") != ""))
+        changed["n_chars"] = F.when(F.col(left).isNotNull(), F.length(left)).otherwise(F.col("n_chars"))
+    joined = keyed.join(cut, same, "left").filter(F.col(left).isNull() | (F.col(left) != ""))
     return joined.withColumns(changed).select(docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that cover half the words of a benchmark item."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    leaks = contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    leaks = leaks.select(F.col("doc_id").alias("_text_key")).distinct()
-    return docs.withColumn("_text_key", key).join(leaks, "_text_key", "left_anti").select(docs.columns)
+    (key,) = unused(docs, "key")
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    leaks = contaminated(docs.select(text_key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = leaks.select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, text_key).join(leaks, key, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
