@@ -17,14 +17,18 @@ def hot_key_join(left: DataFrame, right: DataFrame, key: str, block_rows: int =
     ``block_rows``, and each is repeated once per slot of the other side, so every pair still meets exactly
     once and no task gets more than about block_rows x block_rows of them.
 
-    Each side is counted once. Cold rows go through a plain join. Hot keys are found again by a join on the key, a
-    broadcast only if Spark's size threshold allows it; with one row per key on that side, Spark can split it.
+    Both sides are written first, so each is computed once for the count and the join. Where no key is hot, as most
+    often, the join is a plain one. Otherwise cold rows go through a plain join, and hot keys are found again by a join on
+    the key, a broadcast only if Spark's size threshold allows it; with one row per key on that side, Spark can split it.
     """
+    left, right = written(left, "join-left"), written(right, "join-right")
     hot = written(_hot_slots(left, right, key, block_rows), "hot-keys")
-    cold = left.join(hot, key, "left_anti").join(right, key)
     names = [key, *(c for c in left.columns if c != key), *(c for c in right.columns if c != key)]
-    spread_left = _spread(left.join(hot, key), key, own="ls", other="rs")
-    spread_right = _spread(right.join(hot, key), key, own="rs", other="ls")
+    if hot.isEmpty():
+        return left.join(right, key).select(names)
+    cold = left.join(hot, key, "left_anti").join(right, key)
+    spread_left = _spread(left, hot, key, own="ls", other="rs")
+    spread_right = _spread(right, hot, key, own="rs", other="ls")
     spread = spread_left.join(spread_right, [key, "ls", "rs"])
     return cold.select(names).unionByName(spread.select(names))
 
@@ -40,9 +44,10 @@ def _hot_slots(left, right, key, block_rows):
     return both.filter(pairs > block_rows**2).select(key, slots("l").alias("l_slots"), slots("r").alias("r_slots"))
 
 
-def _spread(df, key, own, other):
-    columns = [c for c in df.columns if c not in (key, "l_slots", "r_slots")]
+def _spread(df, hot, key, own, other):
+    """The rows of hot keys in slots, each once for every slot of the other side; equal rows get slots of their own."""
     mine, theirs = ("l_slots", "r_slots") if own == "ls" else ("r_slots", "l_slots")
-    spread = F.pmod(F.xxhash64(*columns), F.col(mine)).cast("int")
+    # The number of a row of a written table is the same when a task is run again.
+    numbered = df.withColumn(own, F.xxhash64(F.monotonically_increasing_id())).join(hot, key)
     copies = F.sequence(F.lit(0), F.col(theirs) - 1)
-    return df.select(key, *columns, spread.alias(own), F.explode(copies).alias(other))
+    return numbered.select(*df.columns, F.pmod(own, F.col(mine)).cast("int").alias(own), F.explode(copies).alias(other))

@@ -4,9 +4,12 @@ Every ``row_number() <= n`` below is cut per map task before the shuffle (Window
 hub among the seeds sends n rows per task, not its edges.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bipath.operators.edges import SCORE_THRESHOLD, filter_score
+from bipath.runtime import written
 from bipath.sources.edges import edge_order, ids_from_list, scan_edges
 
 # Seeds are typed in by a user; a longer list is joined without the broadcast hint.
@@ -56,19 +59,55 @@ def dti_of_edges(dti: DataFrame, ppi: DataFrame, limit: int | None = None) -> Da
     return _first_per(dti.join(wanted, "proteinId", "left_semi"), ["proteinId"], limit).select("drugId", "proteinId")
 
 
+def edges_within(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
+    """The distinct rows of ``edges`` (proteinAId, proteinBId, ...) that ``hops`` steps from the nodes of ``start`` touch.
+
+    Each step takes the edges at the nodes found last, a semi join for each end, and goes on to those of their ends that were not
+    there before. So a step moves the edges it touches and the nodes at their ends, never pairs of edges that meet in a
+    node. Nodes and edges of a step are written; a null end is no node.
+    """
+    frontier = written(start.toDF("node").filter(F.col("node").isNotNull()).distinct(), "frontier")
+    visited, layers = frontier, []
+    for hop in range(hops):
+        touched = reduce(
+            DataFrame.unionByName,
+            [edges.join(frontier.withColumnRenamed("node", end), end, "left_semi") for end in ("proteinAId", "proteinBId")],
+        ).select(edges.columns)
+        if hop + 1 == hops:
+            layers.append(touched)
+            break
+        layers.append(written(touched, "touched"))
+        ends = layers[-1].select(F.explode(F.array("proteinAId", "proteinBId")).alias("node"))
+        new = ends.filter(F.col("node").isNotNull()).distinct().join(visited, "node", "left_anti")
+        frontier = written(new, "frontier")
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+    return reduce(DataFrame.unionByName, layers).distinct()
+
+
 def ego_network(
     ppi: DataFrame,
     seed: str,
     threshold: float = SCORE_THRESHOLD,
     limit: int | None = None,
+    hops: int = 2,
 ) -> DataFrame:
-    """Strong edges at the seed, and for each of them the (first ``limit``) strong edges at either end.
+    """Strong edges within ``hops`` steps of the seed.
 
-    ``ppi`` holds each edge once. An edge reaches the second step by its ends, as an equi join
-    with the first edges; it is taken at its A end where both ends match, so it
-    comes once per first edge without a dedup.
+    With a ``limit`` of two steps: the first edges at the seed, and for each of them the first at either end. ``ppi``
+    holds each edge once.
     """
     strong = filter_score(ppi, threshold).select("proteinAId", "proteinBId", "score")
+    if limit is None:
+        return edges_within(strong, ids_from_list(ppi.sparkSession, [seed], "node"), hops)
+    if hops != 2:
+        raise ValueError("a limit is for two steps")
+    return _limited_ego(strong, seed, limit)
+
+
+def _limited_ego(strong: DataFrame, seed: str, limit: int) -> DataFrame:
+    """A second edge is taken at its A end where both of its ends match, so it comes once per first edge without a dedup."""
     touches_seed = (F.col("proteinAId") == seed) | (F.col("proteinBId") == seed)
     first = scan_edges(strong, touches_seed, limit)
     hop = first.select(
@@ -80,7 +119,7 @@ def ego_network(
     )
     a_matches = F.col("proteinAId").isin(F.col("via.proteinAId"), F.col("via.proteinBId"))
     second = (
-        by_end.join(hop if limit is None else F.broadcast(hop), "node")
+        by_end.join(F.broadcast(hop), "node")  # two rows for each of the limit's edges
         .filter((F.col("node") == F.col("proteinAId")) | ~a_matches)
         .select("via", "proteinAId", "proteinBId", "score")
     )

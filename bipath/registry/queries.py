@@ -279,7 +279,7 @@ def feedback_join(spark, d):
 
 
 def split_semi_join(spark, d):
-    counts = amount(spark, d)
+    counts = amount_once(spark, d)
     train, _ = splits.train_test_split(counts.select("drugId", "proteinId"), SEED)
     return splits.restrict_to_keys(counts, train)
 
@@ -426,19 +426,14 @@ def _interaction_model(spark, d):
 
 
 def assemble_features(spark, d):
+    """The shape of every pair's feature row, from blocks of bounded length."""
     cells = features.interaction_cells(written(net.dti(spark, d)), written(strong(spark, d)))
-    stored = features.read_vector_cells(spark, features.write_vector_rows(amount(spark, d), cells))
-    total = F.aggregate("features.values", F.lit(0.0), lambda acc, x: acc + x)
-    return stored.select(
-        "drugId", "proteinId", "amount_interactions",
-        F.col("features.size").alias("width"),
-        F.size("features.indices").alias("cells"),
-        F.round(total, 6).alias("total"),
-    )
+    rows = features.assembled_rows(amount(spark, d), features.feature_blocks(cells))
+    return rows.withColumn("total", F.round("total", 6))
 
 
 def rmse_eval(spark, d):
-    marked = splits.with_split(amount(spark, d), SEED)
+    marked = splits.with_split(amount_once(spark, d), SEED)
     predicted = evaluation.mean_predictor(marked, marked.filter(F.col("split") == "train"))
     return evaluation.rmse(predicted, "split").withColumn("rmse", F.round("rmse", 9))
 
@@ -586,7 +581,7 @@ QUERIES = {
     "pivot_ppi_flag": pivot_ppi_flag,
     "pivot_ppi_score": pivot_ppi_score,
     "pivot_amount": pivot_amount,
-    "others_interactions": lambda s, d: matrices.others_interactions(amount(s, d)),
+    "others_interactions": lambda s, d: matrices.others_interactions(amount_once(s, d)),
     "network_summary": network_summary,
     "label_histogram": lambda s, d: degrees.label_histogram(amount(s, d)),
     "ppi_degree": lambda s, d: degrees.ppi_degree(symmetric(s, d)),
@@ -597,7 +592,7 @@ QUERIES = {
     "degree_distribution": degree_distribution,
     "degree_frequency": degree_frequency,
     "rank_per_drug": lambda s, d: ranking.rank_per_group(amount_once(s, d), "amount_interactions"),
-    "topk_per_drug": lambda s, d: ranking.topk_per_group(amount(s, d), 10, "amount_interactions"),
+    "topk_per_drug": lambda s, d: ranking.topk_per_group(amount_once(s, d), 10, "amount_interactions"),
     "order_result": lambda s, d: amount(s, d).orderBy("drugId", F.desc("amount_interactions"), "proteinId"),
     "limit_rows": lambda s, d: amount(s, d).orderBy(F.desc("amount_interactions"), "drugId", "proteinId").limit(20),
     "distinct_dti": net.dti,

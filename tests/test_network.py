@@ -137,6 +137,40 @@ def test_ego_network_matches_brute_force(spark):
     assert rows(got) == sorted(want, key=repr) and hop
 
 
+@pytest.mark.parametrize("hops", [1, 2, 3, 5])
+def test_edges_within_hops_match_a_search(spark, hops):
+    _, ppi = random_graph(5, hub=False)
+    ppi = sorted(set(ppi))[:60] + [("P3", "P3", 0.9), (None, "P3", 0.9)]
+    nodes, want = {"P3", "absent"}, set()
+    for _ in range(hops):
+        touched = {e for e in ppi if nodes & set(e[:2])}
+        want |= touched
+        nodes |= {n for e in touched for n in e[:2] if n is not None}
+    start = spark.createDataFrame([("P3",), ("P3",), ("absent",), (None,)], "node string")
+    assert rows(neighbourhood.edges_within(spark.createDataFrame(ppi, schemas.PPI), start, hops)) == sorted(want, key=repr)
+    strong = [e for e in ppi if e[0] and e[2] >= 0.5]
+    if hops == 2:
+        first = {e for e in strong if "P3" in e[:2]}
+        second = {e for e in strong if {n for f in first for n in f[:2]} & set(e[:2])}
+        assert rows(neighbourhood.ego_network(spark.createDataFrame(ppi[:-1], schemas.PPI), "P3")) == sorted(first | second, key=repr)
+
+
+def test_a_star_of_many_edges_is_no_square(spark):
+    """Two steps from a hub of 100,000 edges move each edge a few times: no join pairs edges."""
+    star = spark.range(100_000).select(F.lit("hub").alias("proteinAId"), F.concat(F.lit("P"), "id").alias("proteinBId"), F.lit(0.9).alias("score"))
+    ego = neighbourhood.ego_network(star, "hub")
+    assert ego.count() == 100_000
+    plan = ego._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Inner" not in plan and "Cross" not in plan
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    left, right = spark.createDataFrame([("k",)] * 40, "key string"), spark.createDataFrame([("k", 1)] * 30, "key string, v int")
+    assert joins.hot_key_join(left, right, "key", block_rows=5).count() == 1200
+    slots = joins._spread(left, spark.createDataFrame([("k", 8, 6)], "key string, l_slots int, r_slots int"), "key", "ls", "rs")
+    assert slots.select("ls").distinct().count() > 3 and slots.count() == 240
+
+
 def test_pivot_tiles_and_masks(spark, hand_dti, hand_ppi):
     dti = edges.distinct_dti(hand_dti)
     wide = matrices.pivot_matrix(dti, "drugId", "proteinId", values=["P1", "P2", "P9"])
