@@ -536,15 +536,15 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT, shingle: in
     sets = live.groupBy("t").agg(F.min_by("parity", "doc_id").alias("parity"), F.min("doc_id").alias("first"))
     parities = sets.select("t", "parity")
     listed = met.filter(F.col("b").isNull()).select("route", "n", F.col("a").alias("t"))
+    # Parities come before a pivot or a member is repeated for its blocks, so no set is looked up once for each.
     near = (
-        _with_pivots(listed, "route", LIST_BLOCK)
-        .join(parities, "t")
+        _with_pivots(listed.join(parities, "t"), "route", LIST_BLOCK)
         .repartition("route", "bi")
         .sortWithinPartitions("route", "bi")
         .mapInArrow(_near_pivots(percent), "route long, t long, pivot long")
     )
     near = _settled(written(near, "near-pivots"), "route")
-    lists = _in_blocks(_placed(listed, near, "route", LIST_BLOCK)).join(parities, "t")
+    lists = _in_blocks(_placed(listed, near, "route", LIST_BLOCK).join(parities, "t"))
     proposed = (
         lists.repartition("route", "bi", "bj")
         .sortWithinPartitions("route", "bi", "bj")
