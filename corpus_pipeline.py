@@ -45,22 +45,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies one row: that of the least id, those without an id last.
 
-    Rows are compared by a key of their own, so neither a repeated nor a missing id hides one. Texts without words are near
-    nothing; of such rows each id stays once, and all without an id.
+    Rows are compared by a key of id and text, so neither a repeated nor a missing id hides one; of rows alike in both one stays.
+    Texts without words are near nothing; of such rows each id stays once, and all without an id.
     """
     ship(spark)
     key, own = unused(docs, "key", "own_id")
-    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed-documents")
-    found = jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), NEAR_PERCENT, NEAR_SHINGLE)
+    lone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("text").isNull(), "text")
+    keyed = docs.filter(~lone).withColumn(key, named)
+    found = jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), NEAR_PERCENT, NEAR_SHINGLE).distinct()
     blank = F.col("n_shingles") == 0
-    ids = keyed.select(key, F.col("doc_id").alias(own))
-    named = found.select(F.col("doc_id").alias(key), "n_shingles", "component_id").join(ids, key)
-    kept = named.groupBy(
-        F.when(~blank, F.col("component_id")).alias("component"),
-        F.when(blank, F.col(own)).alias("id"),
-        F.when(blank & F.col(own).isNull(), F.col(key)).alias("row"),
+    ids = keyed.select(key, F.col("doc_id").alias(own)).distinct()
+    kept = found.select(F.col("doc_id").alias(key), "n_shingles", "component_id").join(ids, key).groupBy(
+        F.when(~blank, F.col("component_id")).alias("component"), F.when(blank, F.col(own)).alias("id")
     ).agg(F.min_by(key, F.struct(F.col(own).isNull(), own, key)).alias(key))
-    return keyed.join(kept.select(key), key, "left_semi").select(docs.columns)
+    first = keyed.join(kept.select(key), key, "left_semi").dropDuplicates([key])
+    return first.select(docs.columns).unionByName(docs.filter(lone))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
