@@ -2,6 +2,10 @@
 
 import re
 
+from bipath import standins
+from bipath.registry import fm_sql
+from bipath.registry.settings import DRUG, FM_GRID, FM_STEP, FOLDS, SEED
+
 WIDTH = 25  # columns of a matrix tile
 LIST_SIZE = 256
 
@@ -230,6 +234,12 @@ BODIES = {
                (1 + sum(amount_interactions) OVER (PARTITION BY drugId) - amount_interactions)::DOUBLE
                  AS drug_sum
         FROM amount""",
+    "feedback_folds": """
+        SELECT drugId, held::INTEGER AS held, 1 + count(*) FILTER (fold <> held) AS drug_cells,
+               (1 + coalesce(sum(amount_interactions) FILTER (fold <> held), 0))::DOUBLE AS drug_sum
+        FROM (SELECT *, ('0x' || substr(md5(drugId || '|' || proteinId || '|42'), 1, 8))::BIGINT % 5 AS fold FROM amount) a,
+             (SELECT unnest(range(5)) AS held) h
+        GROUP BY drugId, held""",
     "split_semi_join": "SELECT drugId, proteinId, amount_interactions FROM split_rows WHERE split = 'train'",
     "candidate_pairs": """
         SELECT d.drugId, p.proteinId FROM (SELECT DISTINCT drugId FROM amount) d,
@@ -370,4 +380,7 @@ BODIES = {
         WHERE split = 'test' GROUP BY grid_id ORDER BY rmse, grid_id LIMIT 1""",
 }
 
-ORACLE = {name: with_views(body) for name, body in BODIES.items()}
+ORACLE = {
+    **{name: with_views(body) for name, body in BODIES.items()},
+    **fm_sql.oracles(FM_GRID, SEED, FM_STEP, FOLDS, DRUG, standins.SEEDS, with_views),
+}

@@ -22,18 +22,11 @@ from bipath.operators import (
     twohop,
 )
 from bipath.plans import etl, sql_profile
+from bipath.registry.settings import ALS_GRID, DRUG, FEEDBACK_GRID, FEEDBACK_STEP, FM_GRID, FM_STEP, FOLDS, SEED
 from bipath.runtime import scratch_path, written
 from bipath.sinks import append_edges, insert_into_table, overwrite_csv, write_lines
 from bipath.schemas import AMOUNT, PPI
 
-SEED = 42
-DRUG = "D1"
-# Model settings of the rows-only queries; the step size suits the few iterations.
-ALS_GRID = {"regParam": [0.01, 0.1], "rank": [10], "alpha": [10.0], "maxIter": [5]}
-FM_GRID = {"regParam": [0.01], "maxIter": [6], "initStd": [0.1], "factorSize": [2]}
-FM_STEP = 0.003
-
-
 # -- shared inputs ---------------------------------------------------------------------------
 
 
@@ -278,6 +271,12 @@ def feedback_join(spark, d):
     return features.feature_profile(counts, cells)
 
 
+def feedback_folds(spark, d):
+    """The features of each drug in the runs of a cross-validation, without the counts of the fold left out."""
+    cells = features.feedback_cells(amount_once(spark, d), folds=FOLDS, seed=SEED)
+    return features.fold_profile(cells, FOLDS)
+
+
 def split_semi_join(spark, d):
     counts = amount_once(spark, d)
     train, _ = splits.train_test_split(counts.select("drugId", "proteinId"), SEED)
@@ -422,7 +421,11 @@ def one_hot(spark, d):
 def _interaction_model(spark, d):
     counts = amount_once(spark, d)
     cells = features.interaction_cells(written(net.dti(spark, d)), written(strong(spark, d)))
-    return counts, cells
+    return counts, features.scaled_cells(cells)
+
+
+def _shown(metrics):
+    return rounded(metrics, "rmse", "train_rmse", "mean_rmse")
 
 
 def assemble_features(spark, d):
@@ -472,12 +475,12 @@ def als_cross_validate(spark, d):
 
 
 def fm_fit_grid(spark, d):
-    return fm.train(*_interaction_model(spark, d), FM_GRID, seed=SEED, step_size=FM_STEP).metrics
+    return _shown(fm.train(*_interaction_model(spark, d), FM_GRID, seed=SEED, step_size=FM_STEP).metrics)
 
 
 def fm_cross_validate(spark, d):
     counts, cells = _interaction_model(spark, d)
-    return fm.cross_validation(counts, cells, FM_GRID, folds=5, seed=SEED, step_size=FM_STEP).metrics
+    return _shown(fm.cross_validation(counts, cells, FM_GRID, folds=FOLDS, seed=SEED, step_size=FM_STEP).metrics)
 
 
 def _fm_factors(spark, d):
@@ -487,29 +490,28 @@ def _fm_factors(spark, d):
 
 
 def fm_rank_all(spark, d):
-    return fm.rank_all(_fm_factors(spark, d)[1], 10)
+    return rounded(fm.rank_all(_fm_factors(spark, d)[1], 10), "prediction")
 
 
 def fm_rank_all_feedback(spark, d):
     counts = amount_once(spark, d)
-    cells = features.feedback_cells(counts)
-    model = fm.train(counts, cells, FM_GRID, seed=SEED, step_size=FM_STEP).model
+    cells = features.feedback_cells(counts, splits.train_test_split(counts, SEED)[0])
+    model = fm.train(counts, cells, FEEDBACK_GRID, seed=SEED, step_size=FEEDBACK_STEP).model
     return fm.rank_all(fm.entity_factors(model, cells), 10)
 
 
 def fm_rank_one_drug(spark, d):
-    return fm.rank_one_drug(_fm_factors(spark, d)[1], DRUG, k=10)
+    return rounded(fm.rank_one_drug(_fm_factors(spark, d)[1], DRUG, k=10), "prediction")
 
 
 def rank_specific_pairs(spark, d):
     listed = sources.ids_from_list(spark, net.SEEDS, "proteinId")
-    return fm.rank_one_drug(_fm_factors(spark, d)[1], DRUG, listed, k=10)
+    return rounded(fm.rank_one_drug(_fm_factors(spark, d)[1], DRUG, listed, k=10), "prediction")
 
 
 def compare_models(spark, d):
     counts, cells = _interaction_model(spark, d)
-    grid = {k: v[:1] for k, v in ALS_GRID.items()}
-    return comparison.compare_models(counts, als.index_ratings(counts), cells, [SEED], grid, FM_GRID, FM_STEP)
+    return comparison.compare_models(counts, als.index_ratings(counts), cells, [SEED], ALS_GRID, FM_GRID, FM_STEP)
 
 
 def compare_rankings(spark, d):
@@ -560,6 +562,7 @@ QUERIES = {
     "amount_interactions": amount,
     "feature_join": feature_join,
     "feedback_join": feedback_join,
+    "feedback_folds": feedback_folds,
     "split_semi_join": split_semi_join,
     "candidate_pairs": candidate_pairs,
     "seed_neighbourhood": seed_neighbourhood,
