@@ -124,7 +124,8 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
     hi = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     return (
         pieces.select("uid", "doc_id", "source", "size", "source_size", "target", "src", "block", lo.alias("lo"), hi.alias("hi")),
-        slots(targets, block),
+        # Written, as a plan can't tell how many slots a few sources make and would broadcast them all.
+        written(slots(targets, block), "slots"),
     )
 
 
