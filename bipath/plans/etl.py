@@ -17,7 +17,7 @@ from bipath.operators.cleaning import (
     validate,
 )
 from bipath.runtime import written
-from bipath.sinks import append_edges, insert_into_table
+from bipath.sinks import append_edges, insert_into_table, publish
 from bipath.sources import (
     drug_smiles,
     drugs_of,
@@ -51,23 +51,37 @@ def valid_ppi(ppi: DataFrame, strict: bool = False) -> DataFrame:
     return valid_rows(checked_ppi(ppi, strict))
 
 
+def _counted(rows: DataFrame) -> Loaded:
+    bad = F.count(F.col("reason"))
+    n = rows.agg((F.count(F.lit(1)) - bad).alias("good"), bad.alias("bad")).first()
+    return Loaded(n["good"], n["bad"])
+
+
 def _load(checked: DataFrame, rejected_path: str, sink) -> Loaded:
     rows = written(checked, "checked")
     sink(valid_rows(rows))
     append_edges(quarantined_rows(rows), rejected_path)
-    bad = F.count(F.col("reason"))
-    n = rows.agg((F.count(F.lit(1)) - bad).alias("good"), bad.alias("bad")).first()
-    return Loaded(n["good"], n["bad"])
+    return _counted(rows)
+
+
+def _collect(checked: DataFrame, collection: str, rejected_path: str, batch: str | None) -> Loaded:
+    """Good rows go to the collection, bad ones to the rejected path. With the name of a ``batch`` both come as one step, and a
+    call that is repeated under it, be it after a failure, adds nothing twice."""
+    if batch is None:
+        return _load(checked, rejected_path, lambda df: append_edges(df, collection))
+    rows = written(checked, "checked")
+    publish({rejected_path: quarantined_rows(rows), collection: valid_rows(rows)}, batch)
+    return _counted(rows)
 
 
-def ppi_text_to_collection(spark: SparkSession, source: str, collection: str, rejected_path: str) -> Loaded:
+def ppi_text_to_collection(spark: SparkSession, source: str, collection: str, rejected_path: str, batch: str | None = None) -> Loaded:
     edges = clean_ppi_text(read_delimited(spark, source, "\t"))
-    return _load(checked_ppi(edges), rejected_path, lambda df: append_edges(df, collection))
+    return _collect(checked_ppi(edges), collection, rejected_path, batch)
 
 
-def dti_text_to_collection(spark: SparkSession, source: str, collection: str, rejected_path: str) -> Loaded:
+def dti_text_to_collection(spark: SparkSession, source: str, collection: str, rejected_path: str, batch: str | None = None) -> Loaded:
     edges = split_drug_ids(read_delimited(spark, source, ","))
-    return _load(checked_dti(edges), rejected_path, lambda df: append_edges(df, collection))
+    return _collect(checked_dti(edges), collection, rejected_path, batch)
 
 
 def structures_to_collections(

@@ -4,7 +4,7 @@ import os
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from bipath import runtime, schemas, sinks, sources
 from bipath.functions import confidence_score, fasta_body, strip_known_prefix
@@ -138,6 +138,35 @@ def test_sinks(spark, tmp_path):
     spark.sql("DROP TABLE dti_sink")
 
 
+def test_a_batch_is_published_once_and_after_a_failure(spark, tmp_path, monkeypatch):
+    source, good, bad = (str(tmp_path / n) for n in ("dti.csv", "good", "bad"))
+    (tmp_path / "dti.csv").write_text("UniProt ID,Drug IDs\nP1,D1; D2\n,D3\nP4,D4\n")
+    write, calls = DataFrameWriter.parquet, []
+
+    def broken(self, path, *more, **options):
+        calls.append(path)
+        if len(calls) == 3:  # the checked rows, the rejected ones, and then the good ones
+            raise OSError("lost")
+        return write(self, path, *more, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", broken)
+    with pytest.raises(OSError):
+        etl.dti_text_to_collection(spark, source, good, bad, "monday")
+    monkeypatch.undo()
+    assert not os.path.exists(good) and not [f for f in os.listdir(bad) if f.startswith("batch-")]
+    for _ in range(2):
+        assert etl.dti_text_to_collection(spark, source, good, bad, "monday") == etl.Loaded(3, 1)
+    # A call that broke off between its moves is replaced by the next one.
+    os.remove(f"{good}/_published-monday")
+    assert etl.dti_text_to_collection(spark, source, good, bad, "monday") == etl.Loaded(3, 1)
+    assert rows(spark.read.parquet(good)) == [("D1", "P1"), ("D2", "P1"), ("D4", "P4")]
+    assert spark.read.parquet(bad).count() == 1
+    etl.dti_text_to_collection(spark, source, good, bad, "tuesday")
+    assert spark.read.parquet(good).count() == 6 and spark.read.parquet(bad).count() == 2
+    with pytest.raises(ValueError):
+        sinks.publish({good: spark.range(1)}, "../x")
+
+
 def test_scans_are_ordered_and_bounded(hand_ppi):
     assert [tuple(r) for r in sources.scan_edges(hand_ppi, F.col("score") > 0, 2).collect()] == [("P1", "P3", 0.9), ("P1", "P2", 0.8)]
     assert rows(sources.find_one(hand_ppi, F.col("proteinAId") == "none")) == []
