@@ -197,3 +197,5 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             stop = min(max(stop, at + 1), batch.num_rows)
             yield batch.slice(at, stop - at)
             at = stop
+    # Workers live on after a task; what its batches took goes back.
+    pa.default_memory_pool().release_unused()
