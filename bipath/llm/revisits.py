@@ -79,12 +79,12 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     order = ["captured", canonical_url(F.col("url")).alias("url_key"), "etag", "last_modified"]
 
     def single(rows: DataFrame, kind: str, *more: Column) -> DataFrame:
-        least = rows.groupBy("record_id").agg(F.min(F.struct(*order, *more)).alias("r"))
-        return least.select("record_id", F.lit(kind).alias("kind"), "r.*")
+        least = rows.groupBy("record_id").agg(F.min(F.struct(*order, *more)).alias("r"), F.count(F.lit(1)).alias("copies"))
+        return least.select("record_id", F.lit(kind).alias("kind"), "copies", "r.*")
 
     revisits = single(keyed.filter("kind = 'revisit'"), "revisit", fields)
     responses = single(keyed.filter(response), "response")
-    validators = F.struct("record_id", "etag", "last_modified")
+    validators = F.struct("record_id", "etag", "last_modified", "copies")
     slim = responses.withColumn("full", validators).withColumn("fields", F.lit(None).cast(revisits.schema["fields"].dataType))
     slim = slim.unionByName(revisits.withColumn("full", F.lit(None).cast(slim.schema["full"].dataType)))
     found = latest_before(slim, "url_key", ["captured", "record_id"], "full", "stored").filter("kind = 'revisit'")
@@ -99,11 +99,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     )
     judged = found.select(
         "record_id", "url_key", outcome.alias("outcome"), F.col("stored.record_id").alias("source_id"),
-        _names(F.map_from_entries("fields")).alias("fresh"),
+        F.col("stored.copies").alias("copies"), _names(F.map_from_entries("fields")).alias("fresh"),
     )
     judged = written(judged.withColumn("from_id", F.when(F.col("outcome") == "resolved", F.col("source_id"))), "judged")
     kept = keyed.filter(response).select(F.col("record_id").alias("from_id"), "headers", "payload")
-    kept = kept.join(judged.select("from_id").distinct(), "from_id", "left_semi").dropDuplicates(["from_id"])
+    if not judged.filter("from_id IS NOT NULL AND copies > 1").isEmpty():
+        # Payloads are only shuffled for it where a wanted response has a namesake.
+        kept = kept.dropDuplicates(["from_id"])
     stored = kept.select("from_id", _names(F.col("headers")).alias("stored"), "payload")
     return left_join_spread(judged, stored, "from_id", "record_id").select(
         "record_id", "url_key", "outcome", "source_id",
