@@ -192,6 +192,16 @@ def test_pivot_tiles_and_masks(spark, hand_dti, hand_ppi):
     ]
 
 
+def test_masked_tiles_meet_no_table_of_tiles(spark):
+    """Each row is shuffled to its tile once: no wide tiles are aggregated and joined. Repeated rows stay, rows without a drug go."""
+    amount = spark.createDataFrame([*AMOUNT, AMOUNT[0], (None, "P1", 3)], schemas.AMOUNT)
+    masked = matrices.masked_tiles(amount, width=3)
+    first = ("D1", "P3", 0, 0, 0, 1)
+    assert rows(masked) == [first, first, ("D1", "P4", 0, 0, 2, 0), ("D2", "P1", 0, 0, 1, 0), ("D2", "P3", 0, 1, 0, 0)]
+    plan = masked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and not any("Aggregate [drugId" in line for line in plan.splitlines())
+
+
 def test_ranks_keep_null_scores_and_many_ties(spark):
     data = [("a", f"P{i}", 1) for i in range(50)] + [("a", "Q", 2), ("b", "P", None)]
     df = spark.createDataFrame(data, "drugId string, proteinId string, amount_interactions int")
