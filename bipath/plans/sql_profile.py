@@ -6,7 +6,8 @@ It differs from :mod:`bipath.operators.twohop` by design and serves as a cross-c
 from pyspark.sql import DataFrame
 
 from bipath.operators.edges import SCORE_THRESHOLD
-from bipath.operators.joins import hot_key_join
+from bipath.operators.joins import dealt, joined_pairs, lookup
+from bipath.runtime import written
 
 
 def ppis_for_analysis(ppi_raw: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFrame:
@@ -25,19 +26,20 @@ def ppis_for_analysis(ppi_raw: DataFrame, threshold: float = SCORE_THRESHOLD) ->
 def amount_manual(dti_rows: DataFrame, ppis: DataFrame) -> DataFrame:
     """(drugId, proteinBId, paths): joined DTI rows per drug and path end.
 
-    Repeated DTI rows are counted before the join and summed after it.
+    Repeated DTI rows are counted before the join and summed after it, in tasks dealt by the number of joined rows.
     """
     spark = dti_rows.sparkSession
     dti = spark.sql(
         "SELECT drugId, proteinId, count(*) AS n FROM {dti} GROUP BY drugId, proteinId", dti=dti_rows
     )
     ends = spark.sql("SELECT proteinAId AS proteinId, proteinBId FROM {ppis}", ppis=ppis)
+    joined, rows = joined_pairs(written(dti), written(ends), "proteinId")
     return spark.sql(
         """
         SELECT drugId, proteinBId, sum(n) AS paths
         FROM {joined} GROUP BY drugId, proteinBId
         """,
-        joined=hot_key_join(dti, ends, "proteinId"),
+        joined=dealt(joined, rows, "drugId", "proteinBId"),
     )
 
 
@@ -55,7 +57,7 @@ def amount_match(amount: DataFrame, manual: DataFrame) -> DataFrame:
         WHERE counted.amount_interactions - derived.paths = 0
         """,
         counted=amount,
-        derived=manual,
+        derived=lookup(manual),
     )
 
 
