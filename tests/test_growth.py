@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bipath import schemas
 from bipath.models import als
-from bipath.operators import features, joins, matrices, ranking, splits, twohop
+from bipath.operators import candidates, features, joins, matrices, ranking, splits, twohop
 from bipath.plans import sql_profile
 from bipath.registry.queries import QUERIES
 from conftest import rows
@@ -102,3 +102,27 @@ def test_counts_are_not_joined_to_themselves(spark):
 def test_the_order_samples_written_counts(spark, sf_dir):
     ordered = QUERIES["order_result"](spark, sf_dir)
     assert "Aggregate" not in optimized(ordered) and "Join" not in optimized(ordered)
+
+
+def test_all_pairs_are_spread_over_tasks(spark):
+    """3,200,000 pairs of two short sides, which adaptive execution would leave to one task."""
+    drugs = spark.range(320).select(F.concat(F.lit("D"), "id").alias("drugId"))
+    proteins = spark.range(10000).select(F.concat(F.lit("P"), "id").alias("proteinId"))
+    pairs = candidates.candidate_pairs(drugs, proteins)
+    by_task = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by_task) == 3_200_000 and max(by_task) < 1_600_000
+
+
+def test_all_pairs_in_short_runs_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "RUN_ROWS", 3)
+    monkeypatch.setattr(candidates, "CHUNK_ROWS", 2)
+    monkeypatch.setattr(candidates, "PAIR_ROWS", 10)
+    counts = spark.createDataFrame(
+        [(f"D{i % 7}", f"P{i % 11}") for i in range(200)] + [(None, "P1"), ("D1", None), (None, None)], "drugId string, proteinId string"
+    )
+    pairs = candidates.candidate_pairs(counts, counts)
+    drugs, proteins = [None, *(f"D{i}" for i in range(7))], [None, *(f"P{i}" for i in range(11))]
+    assert rows(pairs) == sorted(((d, p) for d in drugs for p in proteins), key=repr)
+    by_task = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) > 4 and max(by_task) < 48
+    assert candidates.candidate_pairs(counts.limit(0), counts).count() == 0
