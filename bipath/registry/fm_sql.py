@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 K = 2  # factors
+TOL = 1e-6  # relative change of the training loss at which a run of many steps stops
 NAMES = ["w", *(f"v{f}" for f in range(K))]
 
 
@@ -16,12 +17,12 @@ def _normal(seed: int, f: int) -> str:
     return f"sqrt(-2 * ln({_uniform(seed, 'radius', f)})) * cos(2 * pi() * {_uniform(seed, 'angle', f)})"
 
 
-def _steps(runs: list[dict], seed: int, step: float) -> list[tuple[str, str]]:
-    """(name, text) of the tables from the cells to the weights after the last step, ``trained``."""
+def _start(runs: list[dict], seed: int) -> list[tuple[str, str]]:
+    """(name, text) of the tables from the cells to the first weights, ``trained0``."""
     points = " UNION ALL ".join(
         f"SELECT {i} AS run, {r['fold']} AS held, {r['regParam']}::DOUBLE AS reg, {r['initStd']}::DOUBLE AS std" for i, r in enumerate(runs)
     )
-    tables = [
+    return [
         ("runs", points),
         ("near", "SELECT proteinAId, row_number() OVER (ORDER BY proteinAId) - 1 AS feature FROM (SELECT DISTINCT proteinAId FROM strong)"),
         ("aims", "SELECT proteinId, row_number() OVER (ORDER BY proteinId) - 1 + (SELECT count(*) FROM near) AS feature FROM (SELECT DISTINCT proteinId FROM dti)"),
@@ -42,6 +43,11 @@ def _steps(runs: list[dict], seed: int, step: float) -> list[tuple[str, str]]:
             FROM (SELECT unnest(range(-1, (SELECT count(*) FROM near) + (SELECT count(*) FROM aims))) AS feature) f, runs r
             LEFT JOIN sizes z ON z.run = r.run"""),
     ]
+
+
+def _steps(runs: list[dict], seed: int, step: float) -> list[tuple[str, str]]:
+    """(name, text) of the tables from the cells to the weights after the last step, ``trained``."""
+    tables = _start(runs, seed)
     last = max(r["maxIter"] for r in runs)
     for t in range(1, last + 1):
         before = f"trained{t - 1}"
@@ -76,6 +82,45 @@ def _steps(runs: list[dict], seed: int, step: float) -> list[tuple[str, str]]:
     return tables
 
 
+def _until_settled(runs: list[dict], seed: int, step: float, tol: float = TOL) -> list[tuple[str, str]]:
+    """The tables of :func:`_steps` for many steps: ``trained`` is recursive and keeps the last weights of a feature and run. A run
+    makes no more rows after its maxIter steps, or before where its training loss changes by no more than ``tol`` of itself."""
+    most = " ".join(f"WHEN {i} THEN {r['maxIter']}" for i, r in enumerate(runs))
+    half = " + ".join(f"power(d.a{f} + p.a{f}, 2) - d.q{f} - p.q{f}" for f in range(K))
+    sums = ", ".join(["sum(e) AS e", *(f"sum(e * t{f}) AS e{f}" for f in range(K))])
+    columns, moments = [], []
+    for name in NAMES:
+        total = "gw" if name == "w" else f"g{name[1:]} - o.{name} * gq"
+        g = f"(coalesce({total}, 0.0) / z.n)"
+        m, s = f"(0.9 * m_{name} + (1 - 0.9::DOUBLE) * {g})", f"(0.999 * s_{name} + (1 - 0.999::DOUBLE) * {g} * {g})"
+        move = f"({m} / (1 - power(0.9::DOUBLE, o.step + 1))) / (sqrt({s} / (1 - power(0.999::DOUBLE, o.step + 1))) + 1e-8)"
+        new = f"o.{name} - {step} * {move} - reg * o.{name}"
+        columns.append(f"{new if name == 'w' else f'CASE WHEN o.feature = -1 THEN o.{name} ELSE {new} END'} AS {name}")
+        moments += [f"{m} AS m_{name}", f"{s} AS s_{name}"]
+    states = ", ".join([*NAMES, *(f"{m}_{c}" for c in NAMES for m in "ms")])
+    recursive = f"""
+        SELECT feature, run, 0 AS step, NULL::DOUBLE AS loss, {states} FROM trained0
+        UNION
+        (WITH side AS MATERIALIZED ({_sides("trained")}),
+        off AS MATERIALIZED (
+            SELECT a.drugId, a.proteinId, a.run, {", ".join(f"d.a{f} + p.a{f} AS t{f}" for f in range(K))},
+              2 * (d.lin + p.lin + ({half}) / 2 - a.amount_interactions) AS e
+            FROM learned a JOIN side d ON d.kind = 'd' AND d.id = a.drugId AND d.run = a.run
+            JOIN side p ON p.kind = 'p' AND p.id = a.proteinId AND p.run = a.run),
+        sums AS MATERIALIZED (
+            SELECT 'd' AS kind, drugId AS id, run, {sums} FROM off GROUP BY drugId, run
+            UNION ALL SELECT 'p', proteinId, run, {sums} FROM off GROUP BY proteinId, run),
+        slope AS MATERIALIZED (
+            SELECT c.feature, s.run, sum(x * e) AS gw, sum(x * x * e) AS gq, {", ".join(f"sum(x * e{f}) AS g{f}" for f in range(K))}
+            FROM cells c JOIN sums s ON s.kind = c.kind AND s.id = c.id GROUP BY c.feature, s.run),
+        losses AS MATERIALIZED (SELECT run, sum(e * e) / 4 AS loss FROM off GROUP BY run)
+        SELECT o.feature, o.run, o.step + 1, l.loss, {", ".join([*columns, *moments])}
+        FROM trained o JOIN runs r ON r.run = o.run JOIN sizes z ON z.run = o.run JOIN losses l ON l.run = o.run
+        LEFT JOIN slope g ON g.feature = o.feature AND g.run = o.run
+        WHERE o.step < CASE o.run {most} END AND (o.loss IS NULL OR abs(o.loss - l.loss) > {tol} * abs(o.loss)))"""
+    return [*_start(runs, seed), ("trained", recursive), ("sides", _sides("trained"))]
+
+
 def _sides(weights: str) -> str:
     sums = ", ".join(f"sum(v{f} * x) AS a{f}, sum(v{f} * x * v{f} * x) AS q{f}" for f in range(K))
     return f"SELECT c.kind, c.id, w.run, sum(w.w * x) AS lin, {sums} FROM cells c JOIN {weights} w ON w.feature = c.feature GROUP BY c.kind, c.id, w.run"
@@ -114,20 +159,31 @@ def _metrics(points: list[dict]) -> str:
 
 def _joined(base: list[tuple[str, str]], body: str, with_views) -> str:
     """``body`` behind the views of the network and the materialized tables ``base``."""
-    inner = ",\n".join(f"{name} AS MATERIALIZED ({text})" for name, text in base)
+    recursive = any(_refers(name, text) for name, text in base)
+
+    def table(name, text):
+        return f"{name} USING KEY (feature, run) AS ({text})" if _refers(name, text) else f"{name} AS MATERIALIZED ({text})"
+
+    inner = ",\n".join(table(name, text) for name, text in base)
     marked = with_views("\n".join(text for _, text in base))
     views = marked[len("WITH ") : marked.index("\n" + base[0][1])]
-    return f"WITH {views},\n{inner}\n{body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{views},\n{inner}\n{body}"
+
+
+def _refers(name: str, text: str) -> bool:
+    return f"FROM {name} " in text
 
 
-def oracles(grid: dict[str, list], seed: int, step: float, folds: int, drug: str, seeds: list[str], with_views) -> dict[str, str]:
-    """The SQL of each query on a factorization machine; ``with_views`` puts the network's views before a statement."""
-    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
-    if any(p["factorSize"] != K for p in points):
+def oracles(grid: dict[str, list], whole: dict[str, list], seed: int, step: float, folds: int, drug: str, seeds: list[str], with_views) -> dict[str, str]:
+    """The SQL of each query on a factorization machine; ``with_views`` puts the network's views before a statement. ``whole`` is the
+    grid of the queries that train until the loss settles."""
+    points, long = ([dict(zip(g, values)) for values in itertools.product(*g.values())] for g in (grid, whole))
+    if any(p["factorSize"] != K for p in [*points, *long]):
         raise ValueError(f"the SQL has {K} factors")
-    once = [("rows_of", "SELECT *, CASE WHEN split = 'test' THEN 0 ELSE 1 END AS fold FROM split_rows")]
-    once += _steps([{**p, "fold": 0} for p in points], seed, step) + _errors()
-    once += [("by_point", "SELECT run AS grid_id, rmse, train_rmse, mean_rmse FROM errors")]
+    rows_of = ("rows_of", "SELECT *, CASE WHEN split = 'test' THEN 0 ELSE 1 END AS fold FROM split_rows")
+    by_point = ("by_point", "SELECT run AS grid_id, rmse, train_rmse, mean_rmse FROM errors")
+    once = [rows_of, *_steps([{**p, "fold": 0} for p in points], seed, step), *_errors(), by_point]
+    settled = [rows_of, *_until_settled([{**p, "fold": 0} for p in long], seed, step), *_errors(), by_point]
     bucket = f"('0x' || substr(md5(drugId || '|' || proteinId || '|{seed}'), 1, 8))::BIGINT"
     runs = [{**p, "fold": fold} for p in points for fold in (-1, *range(folds))]
     many = [("rows_of", f"SELECT *, {bucket} % {folds} AS fold FROM amount"), *_steps(runs, seed, step), *_errors()]
@@ -149,7 +205,7 @@ def oracles(grid: dict[str, list], seed: int, step: float, folds: int, drug: str
 
     listed = ", ".join(f"'{s}'" for s in seeds)
     return {
-        "fm_fit_grid": _joined(once, _metrics(points), with_views),
+        "fm_fit_grid": _joined(settled, _metrics(long), with_views),
         "fm_cross_validate": _joined(many, _metrics(points), with_views),
         "fm_rank_all": _joined([*once, *best], ranked(), with_views),
         "fm_rank_one_drug": _joined([*once, *best], ranked(f"drugId = '{drug}'"), with_views),
