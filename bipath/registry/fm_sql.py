@@ -185,8 +185,8 @@ def oracles(grid: dict[str, list], whole: dict[str, list], seed: int, step: floa
     once = [rows_of, *_steps([{**p, "fold": 0} for p in points], seed, step), *_errors(), by_point]
     settled = [rows_of, *_until_settled([{**p, "fold": 0} for p in long], seed, step), *_errors(), by_point]
     bucket = f"('0x' || substr(md5(drugId || '|' || proteinId || '|{seed}'), 1, 8))::BIGINT"
-    runs = [{**p, "fold": fold} for p in points for fold in (-1, *range(folds))]
-    many = [("rows_of", f"SELECT *, {bucket} % {folds} AS fold FROM amount"), *_steps(runs, seed, step), *_errors()]
+    runs = [{**p, "fold": fold} for p in long for fold in (-1, *range(folds))]
+    many = [("rows_of", f"SELECT *, {bucket} % {folds} AS fold FROM amount"), *_until_settled(runs, seed, step), *_errors()]
     many += [("by_point", f"""
         SELECT run // {folds + 1} AS grid_id, avg(rmse) AS rmse, avg(train_rmse) AS train_rmse, avg(mean_rmse) AS mean_rmse
         FROM errors WHERE run % {folds + 1} > 0 GROUP BY run // {folds + 1}""")]
@@ -206,7 +206,7 @@ def oracles(grid: dict[str, list], whole: dict[str, list], seed: int, step: floa
     listed = ", ".join(f"'{s}'" for s in seeds)
     return {
         "fm_fit_grid": _joined(settled, _metrics(long), with_views),
-        "fm_cross_validate": _joined(many, _metrics(points), with_views),
+        "fm_cross_validate": _joined(many, _metrics(long), with_views),
         "fm_rank_all": _joined([*once, *best], ranked(), with_views),
         "fm_rank_one_drug": _joined([*once, *best], ranked(f"drugId = '{drug}'"), with_views),
         "rank_specific_pairs": _joined([*once, *best], ranked(f"drugId = '{drug}' AND proteinId IN ({listed})"), with_views),
