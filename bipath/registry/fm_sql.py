@@ -209,5 +209,5 @@ def oracles(grid: dict[str, list], whole: dict[str, list], seed: int, step: floa
         "fm_cross_validate": _joined(many, _metrics(long), with_views),
         "fm_rank_all": _joined([*once, *best], ranked(), with_views),
         "fm_rank_one_drug": _joined([*once, *best], ranked(f"drugId = '{drug}'"), with_views),
-        "rank_specific_pairs": _joined([*once, *best], ranked(f"drugId = '{drug}' AND proteinId IN ({listed})"), with_views),
+        "rank_specific_pairs": _joined([*settled, *best], ranked(f"drugId = '{drug}' AND proteinId IN ({listed})"), with_views),
     }
