@@ -50,6 +50,12 @@ def test_fm_queries_train_as_long_as_the_reference(spark, sf_dir, asked, name):
     assert asked["fm"]["maxIter"] == [500] and asked["fm"]["factorSize"] == [2]
 
 
+def test_als_fit_has_the_rank_and_iterations_of_the_reference(spark, sf_dir, asked):
+    with pytest.raises(Asked):
+        queries.QUERIES["als_fit_grid"](spark, sf_dir)
+    assert asked["als"]["rank"] == [30] and asked["als"]["maxIter"] == [10]
+
+
 @pytest.mark.parametrize("mode", ["interaction", "feedback"])
 def test_fm_in_one_task_equals_iterations_over_cells(small, monkeypatch, mode):
     """Also where a run stops early, another goes on, and a fold is left out."""
