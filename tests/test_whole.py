@@ -42,7 +42,7 @@ def asked(monkeypatch):
 
 
 @pytest.mark.parametrize(
-    "name", ["fm_fit_grid", "fm_cross_validate", "rank_specific_pairs", "fm_rank_all_feedback"]
+    "name", ["fm_fit_grid", "fm_cross_validate", "rank_specific_pairs", "fm_rank_all_feedback", "compare_rankings"]
 )
 def test_fm_queries_train_as_long_as_the_reference(spark, sf_dir, asked, name):
     with pytest.raises(Asked):
