@@ -56,6 +56,20 @@ def test_als_fit_has_the_rank_and_iterations_of_the_reference(spark, sf_dir, ask
     assert asked["als"]["rank"] == [30] and asked["als"]["maxIter"] == [10]
 
 
+def test_compared_models_are_wholly_trained(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.comparison, "compare_models", lambda *args: seen.append(args[4:6]))
+    monkeypatch.setattr(queries.comparison, "compare_rankings", lambda *args: None)
+    monkeypatch.setattr(queries, "_fm_factors", lambda s, d, grid: (None, seen.append(grid)))
+    monkeypatch.setattr(queries, "_als_ranking", lambda s, c, n, grid: seen.append(grid))
+    monkeypatch.setattr(fm, "rank_all", lambda *args: None)
+    queries.compare_models(spark, sf_dir)
+    queries.compare_rankings(spark, sf_dir)
+    (als_grid, fm_grid), *others = seen
+    assert others == [fm_grid, als_grid] and fm_grid["maxIter"] == [500]
+    assert als_grid["rank"] == [30] and als_grid["maxIter"] == [10]
+
+
 @pytest.mark.parametrize("mode", ["interaction", "feedback"])
 def test_fm_in_one_task_equals_iterations_over_cells(small, monkeypatch, mode):
     """Also where a run stops early, another goes on, and a fold is left out."""
