@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bipath import schemas
 from bipath.models import als, blocks, fm
-from bipath.operators import edges, features, splits, twohop
+from bipath.operators import edges, features, matrices, splits, twohop
 from bipath.registry import fm_sql, queries
 
 
@@ -119,3 +119,26 @@ def test_recursive_sql_equals_unrolled_steps(sf_dir):
         for steps in (fm_sql._steps(runs, 42, 0.01), fm_sql._until_settled(runs, 42, 0.01), fm_sql._until_settled(runs, 42, 0.01, 1.0))
     )
     assert plain == recursive and settled != plain
+
+
+@pytest.mark.parametrize("list_size", [1, 2, 100])
+def test_rows_hold_all_other_counts_of_their_drug(spark, monkeypatch, list_size):
+    """Also where a drug's list comes in pieces and its rows in blocks, and where a drug has one protein alone."""
+    monkeypatch.setattr(matrices, "LIST_BLOCK", list_size)
+    amount = [("D1", "P3", 2), ("D1", "P4", 1), ("D1", "P7", 5), ("D2", "P1", 1), ("D2", "P3", 1), ("D3", "P3", 4)]
+    found = matrices.others_cells(spark.createDataFrame(amount, schemas.AMOUNT), list_size).collect()
+    others = {(d, p): sorted((q, n) for e, q, n in amount if e == d and q != p) for d, p, _ in amount}
+    got = {key: [] for key in others}
+    for r in found:
+        got[r.drugId, r.proteinId] += [tuple(c) for c in r.cells]
+        mine = others[r.drugId, r.proteinId]
+        assert (r.others, r.others_sum) == (len(mine), sum(n for _, n in mine)) and r.pieces == -(-(r.others + 1) // list_size)
+    assert {key: sorted(cells) for key, cells in got.items()} == others
+
+
+def test_others_query_holds_counts_and_not_totals_alone(spark, sf_dir):
+    rows = queries.QUERIES["others_interactions"](spark, sf_dir).collect()
+    seen = {}
+    for r in rows:
+        seen.setdefault((r.drugId, r.proteinId, r.others, r.others_sum), []).extend(c.split(":") for c in r.cells.split(",") if c)
+    assert all(len(cells) == n and sum(int(c) for _, c in cells) == total for (_, _, n, total), cells in seen.items())
